@@ -96,7 +96,7 @@ ROUND_SCHEMA = "row bigint, source string, size bigint, whole int, p double, n_g
 def _round_group(seed: int, level: int):
     def run(table: pa.Table) -> pa.Table:
         row, size, p = (table.column(c).to_numpy().copy() for c in ("row", "size", "p"))
-        order = np.argsort(_unit(seed, 2 * level, row), kind="stable")
+        order = np.lexsort((_unit(seed, 2 * level, row), -size))  # the last residual is then a short document, as a rule
         probabilities = p[order].tolist()
         left = pivotal(probabilities, size[order].tolist(), _unit(seed, 2 * level + 1, row)[order].tolist())
         p[order] = probabilities

@@ -20,6 +20,8 @@ from quire.llm import _common as C
 
 #: Documents in a leaf of the reduction tree, about; residuals in an inner node.
 LEAF, FAN = 8192, 1024
+#: Runs of coins that the last group of a source has to choose from.
+LAST_TRIES = 16
 #: Sources whose targets are broadcast; beyond it they are joined by shuffling.
 BROADCAST_SOURCES = 100_000
 
@@ -97,9 +99,15 @@ def _round_group(seed: int, level: int):
     def run(table: pa.Table) -> pa.Table:
         row, size, p = (table.column(c).to_numpy().copy() for c in ("row", "size", "p"))
         order = np.lexsort((_unit(seed, 2 * level, row), -size))  # the last residual is then a short document, as a rule
-        probabilities = p[order].tolist()
-        left = pivotal(probabilities, size[order].tolist(), _unit(seed, 2 * level + 1, row)[order].tolist())
-        p[order] = probabilities
+        masses, best = size[order].tolist(), None
+        # the last group of a source takes the coins that leave the least to round off
+        for k in range(LAST_TRIES if table.column("n_groups")[0].as_py() == 1 else 1):
+            probabilities = p[order].tolist()
+            left = pivotal(probabilities, masses, _unit(seed + 1000 * k, 2 * level + 1, row)[order].tolist())
+            off = 0.0 if left < 0 else masses[left] * min(probabilities[left], 1.0 - probabilities[left])
+            if best is None or off < best[0]:
+                best = (off, left, probabilities)
+        _, left, p[order] = best
         done = np.ones(len(row), bool)
         if left >= 0:
             done[order[left]] = False

@@ -70,8 +70,9 @@ def _cut(path: str, end_id: int, capacity: int, with_ids: bool, slice_rows: int
             for at in range(0, whole.num_rows, slice_rows):
                 batch = whole.slice(at, slice_rows)
                 out: list[tuple] = []
-                for doc, row, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                    ids = encode(text) + end
+                encoded = encode(batch.column(2).to_pylist())
+                for doc, row, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), encoded, strict=True):
+                    ids = body + end
                     for k, a in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[a : a + 4 * capacity]
                         out.append((doc, row, k, a // 4, len(part) // 4, zlib.crc32(part), part if with_ids else b""))

@@ -42,6 +42,19 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(C.documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json")).drop("row")
 
 
+#: Rows with this remainder are held out of training (op6, op10: crc32 modulo 4; op9: modulo 5).
+HELD_OUT_4, HELD_OUT_5 = 2, 1
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.toxicity import score, train
+
+    docs = C.documents(spark, sf_dir)
+    labels = C.documents(spark, sf_dir, "labels").filter(C.remainder("doc_id", 4) != HELD_OUT_4)
+    scored = score(docs, train(docs, labels))
+    return scored.select("doc_id", (C.remainder("doc_id", 4) == HELD_OUT_4).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.mixing import mix_documents
 
@@ -49,8 +62,16 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.langid import predict, sample_texts
+
+    docs = C.documents(spark, sf_dir)
+    samples = sample_texts(docs.filter(C.remainder("doc_id", 4) != HELD_OUT_4))
+    return predict(docs, samples).select("doc_id", (C.remainder("doc_id", 4) == HELD_OUT_4).alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_store, op2_warc_archive, op3_exact_dedup, op4_best_fit_packing, op7_source_mix)}
+    return {f.__name__: f for f in (op1_token_store, op2_warc_archive, op3_exact_dedup, op4_best_fit_packing, op6_toxicity, op7_source_mix, op10_language_id)}
 
 
 #: SHA-1 in base 32 from its hex digits, five at a time.

@@ -7,9 +7,11 @@ to a bound; what comes later is encoded anew, so memory is bounded and results a
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,35 +23,23 @@ from pyspark.sql import functions as F
 
 from quire.llm import _common as C
 
-#: Pieces that a worker remembers, at most.
-CACHE_PIECES = 500_000
+#: Units and pieces that a worker remembers, at most, and their longest.
+CACHE_UNITS, CACHE_PIECES, CACHE_LENGTH = 800_000, 400_000, 64
 #: These are white space to Python but not to the tokenizers' patterns.
 _NOT_EVERYWHERE_SPACE = re.compile("[\x1c-\x1f]")
+_UNUSUAL_SPACE = re.compile("[\t\r\x0b\x0c\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _SPACED = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 #: The pre-tokenization patterns of the two tokenizer files; fixed values.
 _BYTE_LEVEL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _WORD_LEVEL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
 
-class _Remembered(dict):
-    """A bounded map that computes what it lacks."""
-
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, key):
-        value = self.make(key)
-        if len(self) < CACHE_PIECES:
-            self[key] = value
-        return value
-
-
 class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes, equal to ``Tokenizer.encode(text, add_special_tokens=False)``.
 
     Known by its pre-tokenizer, a tokenizer is either byte-level (a piece carries the space before it) or word-level (white
-    space is dropped); any other is used text by text.
+    space is dropped); any other is used text by text. A piece is looked up whole, or else by the units that the pattern splits it into;
+    units that are not remembered go to the tokenizer together, once for each call.
     """
 
     def __init__(self, path: str):
@@ -58,14 +48,10 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.kind = self._kind()
-        self.units = _Remembered(self.whole)
-        self.spaced = _Remembered(lambda piece: self._pieces(piece if piece[:1] == "\n" else " " + piece))
-        self.literal = _Remembered(self._pieces)
-        self.encode = {"byte": self._byte_level, "word": self._word_level}.get(self.kind, self.whole)
+        self.pieces: dict[str, bytes] = {}
+        self.units: dict[str, bytes] = {}
 
     def _kind(self) -> str:
-        import json
-
         spec = json.loads(self.tokenizer.to_str())
         pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
         if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and norm is None:
@@ -76,31 +62,52 @@ class Encoder:
             return "word"
         return "other"
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _pieces(self, piece: str) -> bytes:
-        """A piece by the units that its pattern splits it into."""
-        if self.kind == "byte":
-            return b"".join(map(self.units.__getitem__, _BYTE_LEVEL.findall(piece)))
-        if max(piece, default="") < "ɐ" and unicodedata.is_normalized("NFC", piece):
-            return b"".join(map(self.units.__getitem__, _WORD_LEVEL.findall(piece.lower())))
-        return self.whole(piece)
-
-    def _byte_level(self, text: str) -> bytes:
+    def encode(self, texts: list[str]) -> list[bytes]:
+        split = [self._pieces(t) for t in texts]
+        new = {p: self._units(p) for p in set().union(*split).difference(self.pieces)}
+        missing = list(set().union(*new.values()).difference(self.units))
+        encoded = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
+        units, pieces = self.units, self.pieces
+        more = {u: array("I", e.ids).tobytes() for u, e in zip(missing, encoded, strict=True)}
+        if len(units) < CACHE_UNITS:
+            units.update(more if max(map(len, missing), default=0) <= CACHE_LENGTH else {u: x for u, x in more.items() if len(u) <= CACHE_LENGTH})
+        found = {p: b"".join([more[u] if u in more else units[u] for u in of]) for p, of in new.items()}
+        pieces.update(found)
+        result = [b"".join(map(pieces.__getitem__, s)) for s in split]
+        for p in found if len(pieces) > CACHE_PIECES else [p for p in found if len(p) > CACHE_LENGTH]:
+            del pieces[p]
+        return result
+
+    def _pieces(self, text: str) -> list[str]:
+        """Names of pieces: "\\r..." stands for what follows, "\\n..." for itself, any other name (byte-level only) for a space and itself."""
         if not text:
-            return b""
-        first, *rest = text.replace("\n", " \n").split(" ")
-        if len(text.split()) == len(rest) + 1:  # single spaces and line ends only, each before a piece
-            return self.literal[first] + b"".join(map(self.spaced.__getitem__, rest))
-        if _NOT_EVERYWHERE_SPACE.search(text):
-            return self.whole(text)
-        return b"".join(self.spaced[p[1:]] if p[0] == " " and len(p) > 1 and not p[1].isspace() else self.literal[p] for p in _SPACED.findall(text))
-
-    def _word_level(self, text: str) -> bytes:
-        if _NOT_EVERYWHERE_SPACE.search(text):
-            return self.whole(text)
-        return b"".join(map(self.literal.__getitem__, text.split()))
+            return []
+        if self.kind == "other" or _NOT_EVERYWHERE_SPACE.search(text):
+            return ["\r" + text]
+        if self.kind == "word":
+            return text.split()
+        pieces = text.replace("\n", " \n").split(" ")
+        if "" in pieces or "\n" in pieces or _UNUSUAL_SPACE.search(text):
+            return ["\r" + p for p in _SPACED.findall(text)]
+        pieces[0] = "\r" + pieces[0]  # each piece is one word with the single space or line end before it
+        return pieces
+
+    def _units(self, name: str) -> list[str]:
+        """What a piece is encoded by: the matches of the pattern, or the piece itself where the tokenizer's own splitting is needed."""
+        if self.kind == "byte" and name[0] not in "\r\n":
+            if name.isalpha():
+                return [" " + name]
+            if name[-1] in ",." and name[:-1].isalpha():
+                return [" " + name[:-1], name[-1]]
+            return _BYTE_LEVEL.findall(" " + name)
+        if self.kind == "word" and name.isascii():
+            return [name.lower()] if name.isalpha() else _WORD_LEVEL.findall(name.lower()) if name[0] != "\r" else [name[1:]]
+        piece = name[1:] if name[0] == "\r" else name
+        if self.kind == "other" or _NOT_EVERYWHERE_SPACE.search(piece):
+            return [piece]
+        if self.kind == "byte":
+            return _BYTE_LEVEL.findall(piece)
+        return _WORD_LEVEL.findall(piece.lower()) if max(piece) < "\u0250" and unicodedata.is_normalized("NFC", piece) else [piece]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -134,7 +141,7 @@ def _encode_segment(path: str, end_id: int | None, slice_rows: int = 256):
         for whole in batches:
             for at in range(0, whole.num_rows, slice_rows):
                 batch = whole.slice(at, slice_rows)
-                chunks = [encode(t) + end for t in batch.column(1).to_pylist()]
+                chunks = [ids + end for ids in encode(batch.column(1).to_pylist())]
                 counts = np.array([len(c) // 4 for c in chunks], dtype=np.int64)
                 starts = start + np.cumsum(counts) - counts
                 start += int(counts.sum())

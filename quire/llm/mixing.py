@@ -162,10 +162,15 @@ def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
 
     Copies belong to ids; rows that share an id share what its rows were given, dealt out in any order.
     """
-    copies = mix_documents(docs, id_col, text_col, source_col, weights, most, seed)
+    table = C.materialize(sizes(docs, id_col, text_col, source_col), "sizes")
+    copies = mix(table, targets(table, weights, most), seed)
     nth, key, at, n, each = (C.fresh(docs, c) for c in ("q_nth", "q_key", "q_at", "q_copies", "q_each"))
-    first = Window.partitionBy("doc_id").orderBy("row")
-    plan = copies.withColumn("at", F.row_number().over(first)).select(F.col("doc_id").alias(key), F.col("at").alias(at), F.col("copies").alias(n)).filter(F.col(n) > 0)
-    numbered = docs.withColumn(nth, F.row_number().over(Window.partitionBy(id_col).orderBy(F.lit(1))))
-    joined = numbered.join(plan, F.col(id_col).eqNullSafe(F.col(key)) & (F.col(nth) == F.col(at)))
-    return joined.withColumn(each, F.explode(F.sequence(F.lit(1), F.col(n)))).drop(nth, key, at, n, each)
+    plan = copies.filter("copies > 0").select(F.col("doc_id").alias(key), F.col("copies").alias(n))
+    if table.groupBy("doc_id").count().filter("count > 1 or doc_id is null").isEmpty():
+        joined = docs.join(plan, F.col(id_col) == F.col(key))
+    else:
+        plan = copies.withColumn("at", F.row_number().over(Window.partitionBy("doc_id").orderBy("row"))).filter("copies > 0")
+        plan = plan.select(F.col("doc_id").alias(key), F.col("copies").alias(n), F.col("at").alias(at))
+        numbered = docs.withColumn(nth, F.row_number().over(Window.partitionBy(id_col).orderBy(F.lit(1))))
+        joined = numbered.join(plan, F.col(id_col).eqNullSafe(F.col(key)) & (F.col(nth) == F.col(at))).drop(nth, at)
+    return joined.withColumn(each, F.explode(F.sequence(F.lit(1), F.col(n)))).drop(key, n, each)

@@ -62,6 +62,13 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.simhash import near_duplicates
+
+    found = near_duplicates(C.documents(spark, sf_dir))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.langid import predict, sample_texts
 
@@ -71,7 +78,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_store, op2_warc_archive, op3_exact_dedup, op4_best_fit_packing, op6_toxicity, op7_source_mix, op10_language_id)}
+    return {f.__name__: f for f in (op1_token_store, op2_warc_archive, op3_exact_dedup, op4_best_fit_packing, op6_toxicity, op7_source_mix, op8_simhash_near_dedup, op10_language_id)}
 
 
 #: SHA-1 in base 32 from its hex digits, five at a time.

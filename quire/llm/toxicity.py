@@ -68,7 +68,7 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 class Ftrl:
     """FTRL-proximal for binary features."""
 
-    def __init__(self, alpha: float = 0.3, beta: float = 1.0, l1: float = 1.5, l2: float = 1.0):
+    def __init__(self, alpha: float = 0.2, beta: float = 1.0, l1: float = 5.0, l2: float = 1.0):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.z, self.n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)  # the last is the intercept
 

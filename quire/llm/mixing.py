@@ -145,8 +145,9 @@ def mix(table: DataFrame, target_table: DataFrame, seed: int = 1) -> DataFrame:
     chosen = decided[0]
     for more in decided[1:]:
         chosen = chosen.unionByName(more)
+    # half of the corpus: never broadcast, whatever its estimated size
     chosen = chosen.filter("p >= 0.5").select(F.col("row").alias("chosen_row"))
-    joined = rated.join(chosen, F.col("row") == F.col("chosen_row"), "left")
+    joined = rated.join(chosen.hint("merge"), F.col("row") == F.col("chosen_row"), "left")
     copies = F.col("whole") + F.when(F.col("chosen_row").isNotNull(), 1).otherwise(0)
     return joined.select("row", "doc_id", "source", "size", "source_size", "target", copies.alias("copies"))
 

@@ -88,3 +88,44 @@ def partitions_of(spark: SparkSession) -> int:
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def split_large_cells(cells: DataFrame, point: str, block: int) -> DataFrame:
+    """``cells`` (cell bigint, point columns) with cells over ``block`` rows cut into pairs of blocks, each a cell of its own.
+
+    A row goes to every pair that its block makes, itself included, so each pair of rows of a cell meets in at least one.
+    """
+    large = materialize(cells.groupBy("cell").agg(F.count("*").alias("q_count")).filter(F.col("q_count") > block), "large")
+    n_large = large.count()
+    if not n_large:
+        return cells
+    marked = cells.join(F.broadcast(large) if n_large <= 10_000 else large, "cell", "left")
+    blocks = F.ceil(F.coalesce("q_count", F.lit(1)) / block).cast("int")
+    own = F.pmod(F.xxhash64(point, F.lit(3)), blocks).cast("int")
+    pairs = marked.withColumn("q_own", own).withColumn("q_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    named = F.when(F.col("q_count").isNull(), F.col("cell")).otherwise(F.xxhash64("cell", F.least("q_own", "q_other"), F.greatest("q_own", "q_other")))
+    return pairs.withColumn("cell", named).select(*cells.columns)
+
+
+class Stars:
+    """Links joined to stars: union-find over the numbers that have links."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        path = []
+        while (up := self.up.get(x, x)) != x:
+            path.append(x)
+            x = up
+        for p in path:
+            self.up[p] = x
+        return x
+
+    def join(self, a: int, b: int) -> None:
+        a, b = self.root(a), self.root(b)
+        if a != b:
+            self.up[max(a, b)] = min(a, b)
+
+    def rows(self) -> list[tuple[int, int]]:
+        return [(x, self.root(x)) for x in self.up]

@@ -42,6 +42,14 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(C.documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json")).drop("row")
 
 
+def op5_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.media import image_copies, paint
+
+    # no table has a media column: the vectors of ``embeddings`` are painted as images
+    found = image_copies(paint(C.documents(spark, sf_dir, "embeddings")))
+    return found.select(F.col("image_id").alias("vec_id"), "n_constellations", "class_id")
+
+
 #: Rows with this remainder are held out of training (op6, op10: crc32 modulo 4; op9: modulo 5).
 HELD_OUT_4, HELD_OUT_5 = 2, 1
 
@@ -69,6 +77,15 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.brown_lm import score, train
+
+    docs = C.documents(spark, sf_dir)
+    held_out = C.remainder("doc_id", 5) == HELD_OUT_5
+    model, counts = train(docs.filter(~held_out))
+    return score(docs, model, counts, held_out)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.langid import predict, sample_texts
 
@@ -78,7 +95,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_store, op2_warc_archive, op3_exact_dedup, op4_best_fit_packing, op6_toxicity, op7_source_mix, op8_simhash_near_dedup, op10_language_id)}
+    return {f.__name__: f for f in (op1_token_store, op2_warc_archive, op3_exact_dedup, op4_best_fit_packing, op5_image_copies, op6_toxicity, op7_source_mix, op8_simhash_near_dedup, op9_brown_lm, op10_language_id)}
 
 
 #: SHA-1 in base 32 from its hex digits, five at a time.

@@ -110,30 +110,6 @@ def _cells(radius: int, groups: int):
     return run
 
 
-class _Stars:
-    """Links joined to stars: union-find over the fingerprints that have links."""
-
-    def __init__(self):
-        self.up: dict[int, int] = {}
-
-    def root(self, x: int) -> int:
-        path = []
-        while (up := self.up.get(x, x)) != x:
-            path.append(x)
-            x = up
-        for p in path:
-            self.up[p] = x
-        return x
-
-    def join(self, a: int, b: int) -> None:
-        a, b = self.root(a), self.root(b)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
-
-    def rows(self) -> list[tuple[int, int]]:
-        return [(x, self.root(x)) for x in self.up]
-
-
 def _links_in_cell(fp: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of one large cell, by rows of blocks: a range join on the total count, then both distances."""
     total = np.bitwise_count(fp).astype(np.int16)
@@ -151,7 +127,7 @@ def _links_in_cell(fp: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np
 
 
 def _links(radius: int):
-    def settle(cell: np.ndarray, fp: np.ndarray, stars: _Stars) -> None:
+    def settle(cell: np.ndarray, fp: np.ndarray, stars: C.Stars) -> None:
         """Links of whole cells: rows in order of cell. Small cells go together, row i against row i + d for each d."""
         starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
         sizes = np.diff(np.append(starts, len(cell)))
@@ -177,7 +153,7 @@ def _links(radius: int):
                 stars.join(x, y)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stars, held = _Stars(), None
+        stars, held = C.Stars(), None
         for batch in batches:
             cell, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
             if not len(cell):
@@ -201,15 +177,7 @@ def links(points: DataFrame, radius: int = 4, groups: int = GROUPS, block: int =
     if not 0 <= radius < groups:
         raise ValueError("there must be more groups than differing bits")
     cells = points.select("fp").mapInArrow(_cells(radius, groups), "choice int, cell bigint, fp bigint").withColumn("cell", F.xxhash64("choice", "cell")).drop("choice")
-    large = C.materialize(cells.groupBy("cell").count().filter(F.col("count") > block), "large")
-    n_large = large.count()
-    if n_large:
-        marked = cells.join(F.broadcast(large) if n_large <= 10_000 else large, "cell", "left")
-        blocks = F.ceil(F.coalesce("count", F.lit(1)) / block).cast("int")
-        own = F.pmod(F.xxhash64("fp", F.lit(3)), blocks).cast("int")
-        # a row goes to the pairs that its block makes with every block, itself included
-        pairs = marked.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        cells = pairs.select(F.when(F.col("count").isNull(), F.col("cell")).otherwise(F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other"))).alias("cell"), "fp")
+    cells = C.split_large_cells(cells, "fp", block)
     dealt = cells.repartition(C.partitions_of(points.sparkSession), "cell").sortWithinPartitions("cell")
     return dealt.mapInArrow(_links(radius), "u bigint, v bigint")
 

@@ -86,7 +86,15 @@ def partitions_of(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def tune(spark: SparkSession) -> None:
+    """Arrow batches for long texts: 2000 rows unless the session has a setting of its own (10000 rows of text are a lot of memory for a worker)."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, "2000")
+
+
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    tune(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -170,7 +170,7 @@ def _until(texts: list[str], most: int) -> list[str]:
 _MODELS: dict[int, Model] = {}
 
 
-def _predict(samples_of, key: int, slice_rows: int = 1024):
+def _predict(samples_of, key: int, slice_rows: int = 512):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _MODELS:
             _MODELS.clear()

@@ -23,6 +23,9 @@ from quire.llm.tokens import encoder, id_lists
 #: Pieces for one packer, about; open bins of one packer, at most.
 PACKER_PIECES, OPEN_BINS = 25_000, 4096
 
+#: What a worker remembers of the tokenizer: less than for the token store, as stages before have left their traces in the workers.
+CACHE_UNITS, CACHE_PIECES = 350_000, 150_000
+
 PIECE_SCHEMA = "doc_id bigint, row bigint, piece int, start bigint, length bigint, ids_crc32 bigint, ids array<int>"
 
 
@@ -65,7 +68,7 @@ class BestFit:
 
 def _cut(path: str, end_id: int, capacity: int, with_ids: bool, slice_rows: int = 256):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(path).encode, int(end_id).to_bytes(4, "little")
+        encode, end = encoder(path, CACHE_UNITS, CACHE_PIECES).encode, int(end_id).to_bytes(4, "little")
         for whole in batches:
             for at in range(0, whole.num_rows, slice_rows):
                 batch = whole.slice(at, slice_rows)

@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from quire.llm import _common as C
 
-#: Units and pieces that a worker remembers, at most, and their longest.
-CACHE_UNITS, CACHE_PIECES, CACHE_LENGTH = 800_000, 400_000, 64
+#: Units and pieces that a worker remembers, at most, and their longest. An entry takes some 170 bytes.
+CACHE_UNITS, CACHE_PIECES, CACHE_LENGTH = 800_000, 350_000, 64
 #: These are white space to Python but not to the tokenizers' patterns.
 _NOT_EVERYWHERE_SPACE = re.compile("[\x1c-\x1f]")
 _UNUSUAL_SPACE = re.compile("[\t\r\x0b\x0c\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -42,12 +42,13 @@ class Encoder:
     units that are not remembered go to the tokenizer together, once for each call.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_units: int = CACHE_UNITS, cache_pieces: int = CACHE_PIECES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.kind = self._kind()
+        self.most_units, self.most_pieces = cache_units, cache_pieces
         self.pieces: dict[str, bytes] = {}
         self.units: dict[str, bytes] = {}
 
@@ -69,12 +70,12 @@ class Encoder:
         encoded = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
         units, pieces = self.units, self.pieces
         more = {u: array("I", e.ids).tobytes() for u, e in zip(missing, encoded, strict=True)}
-        if len(units) < CACHE_UNITS:
+        if len(units) < self.most_units:
             units.update(more if max(map(len, missing), default=0) <= CACHE_LENGTH else {u: x for u, x in more.items() if len(u) <= CACHE_LENGTH})
         found = {p: b"".join([more[u] if u in more else units[u] for u in of]) for p, of in new.items()}
         pieces.update(found)
         result = [b"".join(map(pieces.__getitem__, s)) for s in split]
-        for p in found if len(pieces) > CACHE_PIECES else [p for p in found if len(p) > CACHE_LENGTH]:
+        for p in found if len(pieces) > self.most_pieces else [p for p in found if len(p) > CACHE_LENGTH]:
             del pieces[p]
         return result
 
@@ -110,14 +111,16 @@ class Encoder:
         return _WORD_LEVEL.findall(piece.lower()) if max(piece) < "\u0250" and unicodedata.is_normalized("NFC", piece) else [piece]
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, cache_units: int = CACHE_UNITS, cache_pieces: int = CACHE_PIECES) -> Encoder:
     """The worker's encoder for a tokenizer file, with all that it remembers."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    key = (path, cache_units, cache_pieces)
+    if key not in _ENCODERS:
+        _ENCODERS.clear()  # one at a time: what it remembers is large
+        _ENCODERS[key] = Encoder(*key)
+    return _ENCODERS[key]
 
 
 def id_lists(chunks: list[bytes]) -> pa.ListArray:

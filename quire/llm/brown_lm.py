@@ -23,7 +23,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm import _common as C
@@ -94,9 +94,17 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
-    """From a materialized word_counts() table. The head is a fixed number of words; totals are over all words."""
+    """From a materialized word_counts() table. The head is at most a fixed number of words; totals are over all words.
+
+    The head is all words of at least such a count that they are no more than ``head``; it is found from how many words have each count, so
+    that no task sends a head of its own to the driver.
+    """
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.filter(F.col("word") != F.lit(END)).orderBy(F.desc("c"), "word").limit(head).collect()
+    words_only = counts.filter(F.col("word") != F.lit(END))
+    of_count = words_only.groupBy("c").agg(F.count("*").alias("n")).withColumn("upto", F.sum("n").over(Window.orderBy(F.desc("c"))))
+    least = of_count.filter(F.col("upto") <= head).agg(F.min("c")).first()[0]
+    top = words_only.filter(F.col("c") >= least).collect() if least is not None else []
+    top.sort(key=lambda r: (-r.c, bytes(r.word)))
     ends = counts.filter(F.col("word") == F.lit(END)).collect()
     words = [END, *(bytes(r.word) for r in top)]
     numbers = np.array([ends[0].c if ends else 0, *(r.c for r in top)], np.int64)

@@ -122,7 +122,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).dropna().groupBy("id").agg(F.max("label").alias("label"))
     there = marked.join(docs.select(F.col(id_col).alias("id")).distinct(), "id", "left_semi")
-    sample = there.withColumn("rank", F.xxhash64("id", F.lit(seed))).orderBy("rank", "id").limit(max_rows)  # the bound of the sample
+    n = there.count()
+    ranked = there.withColumn("rank", F.xxhash64("id", F.lit(seed)))
+    if n > 2 * max_rows:  # ranks are uniform: rows that can't be among the first needn't be sorted
+        ranked = ranked.filter(F.col("rank") < int((2 * max_rows / n * 2 - 1) * 2**63))
+    sample = ranked.orderBy("rank", "id").limit(max_rows)  # the bound of the sample
     sample = C.materialize(sample, "sample")
     texts = docs.select(F.col(id_col).alias("id"), C.text_of(text_col).alias("text")).join(F.broadcast(sample), "id")
     rows = texts.select("rank", "label", "text").mapInArrow(_featurise, "rank bigint, label int, at array<int>")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import geometry as G
 from quire.functions import text as T
-from quire.operators import boxes, labels, metrics, sampling, stats, summary, vectors, verify
+from quire.operators import boxes, elements, labels, metrics, sampling, stats, summary, vectors, verify
 from quire.plans import adapters as A
 from quire.sources import records, sinks
 from quire.streaming import incremental
@@ -731,6 +731,42 @@ def writer_style(spark, sf_dir):
     return A.table(spark, sf_dir, "conversations").select("conv_id", "turn", sampling.pick(options, "conv_id", "role", salt="style").alias("style"))
 
 
+# --- elements and words ---
+
+
+@query("with " + A.WORDS + """, g as (select doc_id, idx, word, row_number() over (partition by doc_id, word order by idx) as nth from w) select doc_id, word, count(*) as n, min(idx) as first from g group by 1, 2""")
+def entities_per_document(spark, sf_dir):
+    """AGG22 over words as labels."""
+    w = A.words(spark, sf_dir)
+    return elements.entity_counts(w.withColumn("label", F.col("word"))).withColumnRenamed("label", "word").join(w.groupBy("doc_id", "word").agg(F.min("idx").alias("first")), ["doc_id", "word"])
+
+
+@query("with " + A.WORD_BOXES + """, c as (select *, greatest((length(word) + 5) // 6, 1) as n, (x2 - x0) / length(word) as u from wb), p as (select *, unnest(range(n)) as piece from c)
+    select doc_id, idx, piece::INT as piece, substr(word, piece * 6 + 1, 6) as word, round(x0 + piece * 6 * u, 6) as x0, round(least(x2, x0 + piece * 6 * u + length(substr(word, piece * 6 + 1, 6)) * u), 6) as x2 from p""")
+def word_pieces(spark, sf_dir):
+    """ARR1."""
+    return rounded(elements.word_pieces(A.word_boxes(spark, sf_dir), 6).select("doc_id", "idx", "piece", "word", "x0", "x2"), "x0", "x2")
+
+
+@query("""select round(avg(coalesce(case when n_chars > 0 then 1 + n_chars // 20000 end, 1)), 6) as mean_pages, bool_or(text is not null) as has_words, count(*) as n from documents""")
+def dataset_info(spark, sf_dir):
+    """AGG17."""
+    d = A.table(spark, sf_dir, "documents").select((1 + F.floor(F.col("n_chars") / 20000)).alias("pages"), F.col("text").alias("words"))
+    return rounded(elements.dataset_info(d), "mean_pages")
+
+
+@query("""select doc_id, case doc_id % 5 when 0 then 'stamp' when 1 then 'figure' when 2 then null when 3 then 'photo' else 'barcode' end as kind, case when doc_id % 3 = 0 then 'invalid-size' when doc_id % 5 = 2 then 'unknown-type' end as error,
+    case when doc_id % 4 = 0 then 'author' || doc_id % 7 end as author, case when doc_id % 4 <> 0 then 'no-authorid' when doc_id % 6 = 0 then 'no-text' when doc_id % 10 <> 0 then 'not-found' end as hw_error from documents""")
+def element_errors(spark, sf_dir):
+    """PRJ18, PRJ19, PRJ20."""
+    i = F.col("doc_id")
+    name = F.element_at(F.array(*[F.lit(x) for x in ("Seal", "chart", "hologram", "photo", "qr")]), (i % 5 + 1).cast("int"))
+    classes = F.when(i % 4 == 0, F.concat(F.lit("handwritten author"), (i % 7).cast("string"), F.lit(" signature"))).otherwise("handwritten")
+    who = elements.author(classes)
+    return A.table(spark, sf_dir, "documents").select("doc_id", elements.visual_type(name).alias("kind"), elements.visual_error(name, i % 3, F.lit(1)).alias("error"), who.alias("author"),
+                                                       elements.handwriting_error(who, F.when(i % 6 != 0, "x"), i % 10 == 0).alias("hw_error"))
+
+
 # --- sets, sinks, streams -------------------------------------------------------------------------------------------------
 
 

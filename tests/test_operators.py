@@ -252,3 +252,25 @@ def test_ingest(spark, tmp_path):
         ingest_new(spark, src, "id bigint", out, chk)
         ingest_new(spark, src, "id bigint", out, chk)  # nothing new: nothing twice
         assert spark.read.parquet(out).count() == 10 * (part + 1)
+
+
+def test_elements(spark):
+    from quire.operators import elements as E
+
+    assert value(spark, E.visual_type(F.lit("seal"))) == "stamp" and value(spark, E.visual_error(F.lit("hologram"), F.lit(1), F.lit(1))) == "unknown-type"
+    assert value(spark, E.author(F.lit("handwritten author2 signature"))) == "author2" and value(spark, E.is_signature(F.lit("a signature")))
+    assert value(spark, E.key_value_error(F.lit("a b"), F.lit("x"), ["a", "b"])) == "multiple-labels" and value(spark, E.first_label(F.lit("x b"), ["a", "b"])) == "b"
+    items = value(spark, E.ground_truth_items(F.lit('{"total_1": "5", "b": " "}')))
+    assert [(i.key, i.group, i.error) for i in items] == [("total_1", "1", None), ("b", None, "missing-value")]
+    flat = value(spark, E.flat_answers(F.lit('{"a": "1", "b": {"c": "2"}}')))
+    assert [tuple(x) for x in flat] == [("a", "1"), ("b<<%?c", "2")]
+    arr = lambda *w: F.array(*[F.lit(x) for x in w])
+    assert value(spark, E.in_order_matches(arr("a", "b", "a", "c"), arr("a", "a", "b", "c"))) == [0, 2, -1, 3]
+    df = spark.createDataFrame([(1, ["total", "sum"], ["totl", "summ", "total"])], "doc_id int, gold array<string>, pred array<string>")
+    assert [tuple(p) for p in E.greedy_matches(df).first().pairs] == [(0, 2), (1, 1)]
+    assert value(spark, E.line_width(F.array(*[F.struct(F.lit(w).alias("width"), F.lit(s).alias("space_before")) for w, s in ((5, False), (7, True), (3, False))]), 10, 2)) == 27
+    assert tuple(value(spark, E.grid_place(F.lit(7), 3))) == (2, 1)
+    ink = spark.createDataFrame([(1, 0, 3), (1, 0, 5), (1, 1, 7)], "id int, x int, y int")
+    assert E.baseline(ink, 0.5).first().baseline == 6 and tuple(E.ink_box(ink).first())[1:] == (0, 3, 2, 8)
+    entry = lambda a, *ix: F.struct(F.lit(a).alias("answer"), F.array(*[F.lit(i) for i in ix]).cast("array<int>").alias("indices"))
+    assert [tuple(x) for x in value(spark, E.confirmed(F.array(entry("x"), entry("y", 3, 4))))] == [(1, "y", 3, 4)]

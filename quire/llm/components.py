@@ -37,5 +37,8 @@ def components(links: DataFrame) -> DataFrame:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before or not state[0]:
             return now
-        before = state
-        now = C.materialize(_small_star(C.materialize(_large_star(now), "links")), "links")
+        before, old = state, now
+        large = C.materialize(_large_star(old), "links")
+        now = C.materialize(_small_star(large), "links")
+        for done in (old, large):
+            C.drop_materialized(done)

@@ -51,10 +51,13 @@ def _summarise(k: int):
 
 
 def frequent(table: DataFrame, k: int = HEAVY) -> DataFrame:
-    """At most k digests, among them every one with more than 2 N / (k + 1) of the N rows; estimates are too low, never too high."""
+    """At most k digests, among them every one with more than 2 N / (k + 1) of the N rows; estimates are too low, never too high.
+
+    Estimates add up to N at most, so no more than k of them are over N / (k + 1): the bound needs no sort and no limit.
+    """
+    n = table.count()
     partial = table.select("digest").mapInArrow(_summarise(k), "digest binary, estimate bigint")
-    # a single occurrence is no group; the limit is the size of the summary, and what it leaves out takes the other way
-    return partial.groupBy("digest").agg(F.sum("estimate").alias("estimate")).filter("estimate > 1").orderBy(F.desc("estimate"), "digest").limit(k)
+    return partial.groupBy("digest").agg(F.sum("estimate").alias("estimate")).filter((F.col("estimate") > 1) & (F.col("estimate") * (k + 1) > n))
 
 
 def exact_dedup(table: DataFrame, k: int = HEAVY, largest: bool = True) -> DataFrame:

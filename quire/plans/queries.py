@@ -767,6 +767,140 @@ def element_errors(spark, sf_dir):
                                                        elements.handwriting_error(who, F.when(i % 6 != 0, "x"), i % 10 == 0).alias("hw_error"))
 
 
+# --- expressions ---
+
+
+@query(r"""select doc_id, md5(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g')) as collapsed, 'Question: ' || source || ' Answer: ' || lang as qa,
+    case when doc_id % 2 = 0 then 'd' || doc_id else 'e' || doc_id end as base, replace(replace('{a} of {b} in {c}', '{a}', lang), '{b}', source) as prompt from documents""")
+def text_functions(spark, sf_dir):
+    """STR1, STR24, STR25, PRJ24."""
+    i = F.col("doc_id").cast("string")
+    sample = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("d"), i, F.lit("_page_7"))).otherwise(F.concat(F.lit("e"), i, F.lit("_subsample_2")))
+    d = A.table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.md5(T.collapse_spaces(F.col("text"))).alias("collapsed"), T.qa_text(F.col("source"), F.col("lang")).alias("qa"), T.base_id(sample).alias("base"), T.filled(F.lit("{a} of {b} in {c}"), {"a": F.col("lang"), "b": F.col("source")}).alias("prompt"))
+
+
+@query("with " + _TAGS + """, l as (select doc_id, string_agg(word || ' ' || tag, ' ' order by idx) as t, count(*) as n, count(*) filter (tag <> 'O') as tagged from tg where regexp_matches(word, '^[A-Za-z]+$') group by 1) select doc_id, md5(t) as digest, n, tagged from l""")
+def labelled_text_round_trip(spark, sf_dir):
+    """STR20, STR21: words and labels as one text, and read from it again."""
+    w = _tags(spark, sf_dir).filter(F.col("word").rlike("^[A-Za-z]+$"))
+    per = w.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", "word", "tag"))).alias("x"))
+    t = per.select("doc_id", T.labelled_text(F.transform("x", lambda e: e["word"]), F.transform("x", lambda e: e["tag"])).alias("t"))
+    pairs = t.select("doc_id", "t", F.explode(T.labelled_words(F.col("t"), ["NAME", "DATE", "TOTAL"])).alias("p"))
+    return pairs.groupBy("doc_id").agg(F.md5(F.first("t")).alias("digest"), F.count("*").alias("n"), F.count_if(F.col("p.label") != "O").alias("tagged"))
+
+
+@query("with " + A.WORD_BOXES + """ select doc_id, idx, x0::INT as x, y0::INT as y, (x2 - x0)::INT + 1 as width, (y2 - y0)::INT + 1 as height, x0::INT + (x2 - x0)::INT + 1 as right_edge from wb""")
+def ocr_geometry(spark, sf_dir):
+    """SRC12, PRJ25: boxes of OCR polygons, ends included."""
+    w = A.word_boxes(spark, sf_dir)
+    polygon = F.array("x0", "y0", "x2", "y0", "x2", "y2", "x0", "y2")
+    g = w.select("doc_id", "idx", records.polygon_box(polygon).alias("g"))
+    return g.select("doc_id", "idx", F.col("g")[0].alias("x"), F.col("g")[1].alias("y"), F.col("g")[2].alias("width"), F.col("g")[3].alias("height"), (F.col("g")[0] + F.col("g")[2]).alias("right_edge"))
+
+
+@query("""with j as (select conv_id, turn, {'total_1': role, 'b': case when turn % 2 = 0 then ' ' else 'x' end, 'n': null} as o from conversations), e as (select conv_id, turn, unnest([0, 1]) as id, unnest(['total_1', 'b']) as key, unnest([o.total_1, o.b]) as value from j)
+    select conv_id, turn, id::VARCHAR as id, case when contains(key, '_') then '1' end as "group", key, value, case when trim(value) = '' then 'missing-value' end as error from e""")
+def ground_truth_items(spark, sf_dir):
+    """PRJ22."""
+    c = A.table(spark, sf_dir, "conversations")
+    raw = F.to_json(F.struct(F.col("role").alias("total_1"), F.when(F.col("turn") % 2 == 0, " ").otherwise("x").alias("b")))
+    return c.select("conv_id", "turn", F.explode(elements.ground_truth_items(raw)).alias("i")).select("conv_id", "turn", "i.id", "i.group", "i.key", "i.value", "i.error")
+
+
+@query("""select conv_id, turn, unnest(['a', 'b<<%?c', 'b<<%?d']) as key, unnest([role, turn::VARCHAR, 'x']) as value from conversations""")
+def flat_answers(spark, sf_dir):
+    """ARR4: nested answers, one level flattened."""
+    c = A.table(spark, sf_dir, "conversations")
+    raw = F.to_json(F.struct(F.col("role").alias("a"), F.struct(F.col("turn").cast("string").alias("c"), F.lit("x").alias("d")).alias("b")))
+    return c.select("conv_id", "turn", F.explode(elements.flat_answers(raw)).alias("e")).select("conv_id", "turn", "e.key", "e.value")
+
+
+@query("""select vec_id, round((vec_id % 500) * 72.0 / 96, 6) as points, round((vec_id % 500) * (72 / 25.4), 6) as mm_points, round((vec_id % 500) * (200 / 72), 6) as pixels,
+    (((vec_id % 500) + 1) * least(100.0 / ((vec_id % 500) + 1), 80.0 / ((vec_id % 300) + 1)))::DOUBLE as w0, round(greatest(case when vec_id < 100 then 0.5 * vec_id / 100 else 0.5 * (1000 - vec_id) / 900 end, 0), 6) as rate from embeddings""")
+def unit_conversions(spark, sf_dir):
+    """GEO10, GEO14 (before truncation), GEO17."""
+    v = F.col("vec_id") % 500
+    scale = F.least(F.lit(100.0) / (v + 1), F.lit(80.0) / (F.col("vec_id") % 300 + 1))
+    df = A.table(spark, sf_dir, "embeddings").select("vec_id", G.pixels_to_points(v).alias("points"), G.millimetres_to_points(v).alias("mm_points"), G.points_to_pixels(v).alias("pixels"), ((v + 1) * scale).alias("w0"), G.learning_rate(F.col("vec_id"), 1000, 0.1, 0.5).alias("rate"))
+    return rounded(df, "points", "mm_points", "pixels", "rate")
+
+
+@query("with " + A.WORDS + """, h as (select doc_id as id, length(word)::INT as bin, count(*) as n from w group by 1, 2), r as (select id, bin, sum(n) over (partition by id order by bin) as w0, sum(n * bin) over (partition by id order by bin) as s0, sum(n) over (partition by id) as t, sum(n * bin) over (partition by id) as s from h),
+    v as (select id, bin, case when t > w0 then w0 * (t - w0) * (s0 / w0 - (s - s0) / (t - w0)) * (s0 / w0 - (s - s0) / (t - w0)) end as v from r), n as (select *, row_number() over (partition by id order by round(v, 6) desc nulls last, bin) as nth from v) select id, bin as threshold from n where nth = 1 and v is not null""")
+def otsu_threshold(spark, sf_dir):
+    """GEO18 on lengths of words."""
+    h = A.words(spark, sf_dir).groupBy(F.col("doc_id").alias("id"), F.length("word").alias("bin")).agg(F.count("*").alias("n"))
+    return stats.otsu(h).filter("threshold is not null")
+
+
+@query("with " + A.WORD_BOXES + """ select doc_id as id, min(x0) - 2 as x0, min(y0) - 2 as y0, max(x0) + 3 as x2, max(y0) + 3 as y2 from wb group by 1""")
+def ink_boxes(spark, sf_dir):
+    """GEO20 on corners of words."""
+    return elements.ink_box(A.word_boxes(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("x0").alias("x"), F.col("y0").alias("y")), 2)
+
+
+@query("with " + A.WORD_BOXES + """, l as (select doc_id, x0, max(y0) as y from wb group by 1, 2) select doc_id as id, floor(quantile_cont(y, 0.3))::INT as baseline from l group by 1""")
+def baselines(spark, sf_dir):
+    """GEO19 on corners of words."""
+    return elements.baseline(A.word_boxes(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("x0").alias("x"), F.col("y0").alias("y")), 0.3)
+
+
+@query("with " + A.WORD_BOXES + """, e as (select doc_id, min(x0) as l, max(x2) as r, max(y2) as b from wb group by 1) select doc_id, ceil(case when (r - l) / 650.0 < 0.7 then r - l + 2 * greatest(l, 0) else 650.0 end + 5)::BIGINT as width, ceil(greatest(b, 400.0) + 5)::BIGINT as height from e""")
+def page_extents(spark, sf_dir):
+    """GEO15."""
+    w = A.word_boxes(spark, sf_dir).select("doc_id", F.col("x0").alias("x"), F.col("y0").alias("y"), (F.col("x2") - F.col("x0")).alias("width"), (F.col("y2") - F.col("y0")).alias("height"), F.lit(650.0).alias("body_width"), F.lit(400.0).alias("body_height"))
+    return elements.page_extent(w)
+
+
+@query("""select source, arg_max(doc_id, n_chars * 10000000 + doc_id) as doc_id from documents group by 1""")
+def latest_checkpoint(spark, sf_dir):
+    """SORT3: the row with the largest number of each group."""
+    d = A.table(spark, sf_dir, "documents").select("source", "doc_id", (F.col("n_chars") * 10_000_000 + F.col("doc_id")).alias("step"))
+    return elements.latest(d, "source", "step").select("source", "doc_id")
+
+
+@query("""with a as (select vec_id, row_number() over (order by vec_id) as pos from embeddings), b as (select vec_id, row_number() over (order by case when vec_id < 10 then -vec_id else vec_id end) as pos from embeddings) select count(*) filter (a.vec_id is distinct from b.vec_id) as differences from a full join b on a.pos = b.pos""")
+def id_alignment(spark, sf_dir):
+    """JOIN12: lists of ids that should be in the same order."""
+    from pyspark.sql import Window
+
+    e = A.table(spark, sf_dir, "embeddings").select("vec_id")
+    a = e.withColumn("pos", F.row_number().over(Window.orderBy("vec_id")))
+    b = e.withColumn("pos", F.row_number().over(Window.orderBy(F.when(F.col("vec_id") < 10, -F.col("vec_id")).otherwise(F.col("vec_id")))))
+    return elements.same_ids(a, b, "vec_id")
+
+
+@query(f"""with {_CL}, {_ODDS}, dr as (select *, {A.unit_sql("run", "slot", salt="cluster")} as u, {A.unit_sql("run", "slot", salt="member")} as v from gr), ch as (select run, slot, cluster, floor(v * size)::BIGINT as nth from dr join oi on u >= lo and u < hi), l as (select run, slot, doc_id from ch join mb using (cluster, nth))
+    select run, max(case when slot = 0 then doc_id end) as seed_0, max(case when slot = 1 then doc_id end) as seed_1, max(case when slot = 2 then doc_id end) as seed_2, max(case when slot = 3 then doc_id end) as seed_3, max(case when slot = 4 then doc_id end) as seed_4, max(case when slot = 5 then doc_id end) as seed_5 from l group by 1""")
+def seeds_wide(spark, sf_dir):
+    """SAMP4: the wide table of seeds."""
+    long = sampling.seed_table(_clusters(spark, sf_dir), 200, 6, 0.5)
+    wide = long.groupBy("run").pivot("slot", list(range(6))).agg(F.max("doc_id"))
+    return wide.select("run", *[F.col(str(k)).alias(f"seed_{k}") for k in range(6)])
+
+
+@query("select event_type, count(*) as n from events group by 1")
+def stream_resume(spark, sf_dir):
+    """STM1, STM3: events ingested by a stream that takes what is there and stops; a second call adds nothing."""
+    import uuid
+
+    base = (spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/quire-{spark.sparkContext.applicationId}").rstrip("/") + f"/stream-{uuid.uuid4().hex[:12]}"
+    events = A.table(spark, sf_dir, "events").select("event_id", "event_type")
+    events.write.parquet(f"{base}/source")
+    for _ in range(2):
+        incremental.ingest_new(spark, f"{base}/source", events.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), f"{base}/sink", f"{base}/state")
+    return spark.read.parquet(f"{base}/sink").groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("""select conv_id, list_transform(list_filter(list_sort(list({'t': turn, 'r': role, 'c': text})), lambda x: x.r = 'assistant'), lambda x: x.t) as turns from conversations group by 1""")
+def confirmed_turns(spark, sf_dir):
+    """PRJ8, ARR: entries kept with their original positions."""
+    c = A.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("ts"))
+    entries = F.transform("ts", lambda t: F.struct(t["role"].alias("answer"), F.when(t["role"] == "assistant", F.array(t["turn"])).otherwise(F.array().cast("array<bigint>")).alias("indices")))
+    return c.select("conv_id", F.transform(elements.confirmed(entries), lambda x: x["start"]).alias("turns"))
+
+
 # --- sets, sinks, streams -------------------------------------------------------------------------------------------------
 
 

@@ -66,12 +66,11 @@ class BestFit:
         return chosen, self.capacity - space
 
 
-def _cut(path: str, end_id: int, capacity: int, with_ids: bool, slice_rows: int = 256):
+def _cut(path: str, end_id: int, capacity: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(path, CACHE_UNITS, CACHE_PIECES).encode, int(end_id).to_bytes(4, "little")
         for whole in batches:
-            for at in range(0, whole.num_rows, slice_rows):
-                batch = whole.slice(at, slice_rows)
+            for batch in C.text_slices(whole, 2, 1 << 20):
                 out: list[tuple] = []
                 encoded = encode(batch.column(2).to_pylist())
                 for doc, row, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), encoded, strict=True):

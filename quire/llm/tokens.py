@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from quire.llm import _common as C
 
 #: Units and pieces that a worker remembers, at most, and their longest. An entry takes some 170 bytes.
-CACHE_UNITS, CACHE_PIECES, CACHE_LENGTH = 800_000, 350_000, 64
+CACHE_UNITS, CACHE_PIECES, CACHE_LENGTH = 800_000, 300_000, 64
 #: These are white space to Python but not to the tokenizers' patterns.
 _NOT_EVERYWHERE_SPACE = re.compile("[\x1c-\x1f]")
 _UNUSUAL_SPACE = re.compile("[\t\r\x0b\x0c\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -34,6 +34,17 @@ _BYTE_LEVEL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p
 _WORD_LEVEL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
 
+class _Remembered(dict):
+    """What is known of pieces; the names that are asked for in vain are kept in ``lacking``."""
+
+    def __init__(self):
+        super().__init__()
+        self.lacking: set[str] = set()
+
+    def __missing__(self, name: str) -> None:
+        self.lacking.add(name)
+
+
 class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes, equal to ``Tokenizer.encode(text, add_special_tokens=False)``.
 
@@ -49,7 +60,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.kind = self._kind()
         self.most_units, self.most_pieces = cache_units, cache_pieces
-        self.pieces: dict[str, bytes] = {}
+        self.pieces = _Remembered()
         self.units: dict[str, bytes] = {}
 
     def _kind(self) -> str:
@@ -64,20 +75,22 @@ class Encoder:
         return "other"
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self._pieces(t) for t in texts]
-        new = {p: self._units(p) for p in set().union(*split).difference(self.pieces)}
-        missing = list(set().union(*new.values()).difference(self.units))
-        encoded = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
-        units, pieces = self.units, self.pieces
-        more = {u: array("I", e.ids).tobytes() for u, e in zip(missing, encoded, strict=True)}
-        if len(units) < self.most_units:
-            units.update(more if max(map(len, missing), default=0) <= CACHE_LENGTH else {u: x for u, x in more.items() if len(u) <= CACHE_LENGTH})
-        found = {p: b"".join([more[u] if u in more else units[u] for u in of]) for p, of in new.items()}
-        pieces.update(found)
-        result = [b"".join(map(pieces.__getitem__, s)) for s in split]
-        for p in found if len(pieces) > self.most_pieces else [p for p in found if len(p) > CACHE_LENGTH]:
-            del pieces[p]
-        return result
+        pieces, units, new = self.pieces, self.units, self.pieces.lacking
+        new.clear()
+        names = [self._pieces(t) for t in texts]
+        parts = [list(map(pieces.__getitem__, of)) for of in names]  # None for pieces that are not remembered
+        if new:
+            by_units = {p: self._units(p) for p in new}
+            missing = list(set().union(*by_units.values()).difference(units))
+            encoded = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
+            more = {u: array("I", e.ids).tobytes() for u, e in zip(missing, encoded, strict=True)}
+            if len(units) < self.most_units:
+                units.update(more if max(map(len, missing), default=0) <= CACHE_LENGTH else {u: x for u, x in more.items() if len(u) <= CACHE_LENGTH})
+            found = {p: b"".join([more[u] if u in more else units[u] for u in of]) for p, of in by_units.items()}
+            parts = [[found[p] if x is None else x for x, p in zip(of, named, strict=True)] for of, named in zip(parts, names, strict=True)]
+            if len(pieces) < self.most_pieces:
+                pieces.update({p: x for p, x in found.items() if len(p) <= CACHE_LENGTH})
+        return list(map(b"".join, parts))
 
     def _pieces(self, text: str) -> list[str]:
         """Names of pieces: "\\r..." stands for what follows, "\\n..." for itself, any other name (byte-level only) for a space and itself."""
@@ -88,7 +101,7 @@ class Encoder:
         if self.kind == "word":
             return text.split()
         pieces = text.replace("\n", " \n").split(" ")
-        if "" in pieces or "\n" in pieces or _UNUSUAL_SPACE.search(text):
+        if "" in pieces or "\n" in pieces or (any(c in text for c in "\t\r\x0b\x0c") if text.isascii() else _UNUSUAL_SPACE.search(text)):
             return ["\r" + p for p in _SPACED.findall(text)]
         pieces[0] = "\r" + pieces[0]  # each piece is one word with the single space or line end before it
         return pieces
@@ -134,7 +147,7 @@ def id_lists(chunks: list[bytes]) -> pa.ListArray:
 TOKEN_SCHEMA = "doc_id bigint, segment int, local_start bigint, n_tokens int, ids array<int>"
 
 
-def _encode_segment(path: str, end_id: int | None, slice_rows: int = 256):
+def _encode_segment(path: str, end_id: int | None):
     end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,8 +155,7 @@ def _encode_segment(path: str, end_id: int | None, slice_rows: int = 256):
 
         encode, segment, start = encoder(path).encode, TaskContext.get().partitionId(), 0
         for whole in batches:
-            for at in range(0, whole.num_rows, slice_rows):
-                batch = whole.slice(at, slice_rows)
+            for batch in C.text_slices(whole, 1):
                 chunks = [ids + end for ids in encode(batch.column(1).to_pylist())]
                 counts = np.array([len(c) // 4 for c in chunks], dtype=np.int64)
                 starts = start + np.cumsum(counts) - counts
@@ -204,6 +216,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
     (
         rows.mapInArrow(_encode_segment(tokenizer, end_id), TOKEN_SCHEMA)
         .write.option("compression", "zstd")
+        .option("parquet.compression.codec.zstd.level", "1")
         .option("parquet.block.size", ROW_GROUP_BYTES)
         .option("parquet.page.row.count.limit", PAGE_ROWS)
         .option("parquet.dictionary.page.size", DICTIONARY_BYTES)

@@ -150,3 +150,24 @@ class Stars:
 
     def rows(self) -> list[tuple[int, int]]:
         return [(x, self.root(x)) for x in self.up]
+
+
+def join_cell(stars: Stars, values: np.ndarray, pairs) -> None:
+    """Add the components of one cell: ``pairs`` yields arrays of linked places (p, q). Each place joins the least that it reaches, so n of them are
+    n steps in Python at most, however many links they have: links are merged by whole arrays, minima first, then jumps."""
+    n = len(values)
+    labels = np.arange(n)
+    for p, q in pairs:
+        while True:
+            a, b = labels[p], labels[q]
+            apart = a != b
+            if not apart.any():
+                break
+            up = np.arange(n)
+            np.minimum.at(up, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+            while (up[up] != up).any():
+                up = up[up]
+            labels = up[labels]
+    moved = np.flatnonzero(labels != np.arange(n))
+    for x, y in zip(values[moved].tolist(), values[labels[moved]].tolist(), strict=True):
+        stars.join(x, y)

@@ -133,9 +133,7 @@ def _links(radius: int):
         sizes = np.diff(np.append(starts, len(cell)))
         for k in np.flatnonzero(sizes > 64):
             part = fp[starts[k] : starts[k] + sizes[k]]
-            for i, j in _links_in_cell(part, radius):
-                for x, y in zip(part[i].tolist(), part[j].tolist(), strict=True):
-                    stars.join(x, y)
+            C.join_cell(stars, part, _links_in_cell(part, radius))
         left = np.repeat(np.where(sizes > 64, 0, sizes), sizes)
         place = np.arange(len(cell)) - np.repeat(starts, sizes)
         counts = segment_counts(fp)

@@ -96,4 +96,4 @@ def otsu(histogram_of: DataFrame) -> DataFrame:
     w1 = F.col("t") - F.col("w0")
     mean = F.col("s0") / F.col("w0") - (F.col("s") - F.col("s0")) / w1
     df = df.withColumn("v", F.when((F.col("w0") > 0) & (w1 > 0), F.col("w0") * w1 * mean * mean))
-    return df.groupBy("id").agg(F.max_by("bin", F.struct("v", -F.col("bin"))).alias("threshold"))
+    return df.groupBy("id").agg(F.max_by("bin", F.when(F.col("v").isNotNull(), F.struct("v", -F.col("bin")))).alias("threshold"))

@@ -655,10 +655,10 @@ def _configs(spark, sf_dir) -> DataFrame:
     return A.table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("by_"), F.col("p_type").alias("config")).agg((F.avg("p_retailprice") / 2000).alias("up"), (F.avg("p_size") / 50).alias("down"))
 
 
-@query(f"with {_CONFIGS}, s as (select *, (up + 1 - down) / 2 as score from m), n as (select *, row_number() over (partition by by_ order by round(score, 9) desc, config) as nth from s) select by_, config, round(score, 8) as final_score, nth::INT as nth from n where nth <= 3")
+@query(f"with {_CONFIGS}, s as (select *, (up + 1 - down) / 2 as score from m), n as (select *, row_number() over (partition by by_ order by round(score, 9) desc, config) as nth from s) select by_, config, round(score, 12) as final_score, nth::INT as nth from n where nth <= 3")
 def best_config_topn(spark, sf_dir):
     """WIN2: the three best configurations of each group (a report), raw."""
-    return rounded(stats.best_configs(_configs(spark, sf_dir).withColumns({"up": F.round("up", 12), "down": F.round("down", 12)}), "by_", "config", ["up"], ["down"], 3, scaled=False).select("by_", "config", "final_score", "nth"), "final_score", digits=8)
+    return rounded(stats.best_configs(_configs(spark, sf_dir), "by_", "config", ["up"], ["down"], 3, scaled=False).select("by_", "config", "final_score", "nth"), "final_score", digits=12)
 
 
 @query(f"""with {_CONFIGS}, w as (select *, min(up) over (partition by by_) as l, max(up) over (partition by by_) as h, min(down) over (partition by by_) as dl, max(down) over (partition by by_) as dh from m), s as (select by_, config, (case when h = l then 0 else (up - l) / (h - l) end + 1 - case when dh = dl then 0 else (down - dl) / (dh - dl) end) / 2 as score from w),

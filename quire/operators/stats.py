@@ -77,7 +77,7 @@ def best_configs(metrics: DataFrame, by: str, config: str, up: list[str], down:
     """WIN2, SORT1: the n configurations of each group with the highest mean of measures (min-max scaled or raw; ``down`` ones as 1 - x)."""
     parts = [min_max(c, by) if scaled else F.col(c) for c in up] + [min_max(c, by, flip=True) if scaled else 1 - F.col(c) for c in down]
     score = sum(parts[1:], parts[0]) / len(parts)
-    nth = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("final_score"), config))
+    nth = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(F.round("final_score", 9)), config))  # sums in another order may differ in the last digits
     return metrics.withColumn("final_score", score).withColumn("nth", nth).filter(F.col("nth") <= n)
 
 

@@ -662,7 +662,7 @@ def best_config_topn(spark, sf_dir):
 
 
 @query(f"""with {_CONFIGS}, w as (select *, min(up) over (partition by by_) as l, max(up) over (partition by by_) as h, min(down) over (partition by by_) as dl, max(down) over (partition by by_) as dh from m), s as (select by_, config, (case when h = l then 0 else (up - l) / (h - l) end + 1 - case when dh = dl then 0 else (down - dl) / (dh - dl) end) / 2 as score from w),
-    n as (select *, row_number() over (partition by by_ order by score desc, config) as nth from s) select by_, config, round(score, 6) as final_score, nth::INT as nth from n where nth <= 1""")
+    n as (select *, row_number() over (partition by by_ order by round(score, 9) desc, config) as nth from s) select by_, config, round(score, 6) as final_score, nth::INT as nth from n where nth <= 1""")
 def minmax_best(spark, sf_dir):
     """STAT18, SORT1: the best of each group by scaled measures (a report)."""
     return rounded(stats.best_configs(_configs(spark, sf_dir), "by_", "config", ["up"], ["down"], 1, scaled=True).select("by_", "config", "final_score", "nth"), "final_score")

@@ -88,17 +88,6 @@ def partitions_of(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def text_slices(batch, column: int, most_bytes: int = 3 << 20):
-    """Slices of an Arrow batch with about ``most_bytes`` of text each, whatever the lengths of its texts; a longer text is alone."""
-    texts = batch.column(column)
-    ends = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset) if len(texts) else np.zeros(1, np.int32)
-    at = 0
-    while at < len(texts):
-        to = max(at + 1, int(np.searchsorted(ends, int(ends[at]) + most_bytes, side="right")) - 1)
-        yield batch.slice(at, to - at)
-        at = to
-
-
 def tune(spark: SparkSession) -> None:
     """Arrow batches for long texts: 2000 rows unless the session has a setting of its own (10000 rows of text are a lot of memory for a worker)."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -115,15 +115,3 @@ def test_many_packers_stay_near_the_bound(spark):
 
 def test_pieces_without_ids(docs):
     assert pieces(docs, tokenizer_path("word_bpe_49k.json"), with_ids=False).filter("size(ids) > 0").count() == 0
-
-
-def test_text_slices_bound_bytes_and_lose_nothing():
-    import pyarrow as pa
-
-    texts = ["a" * 5, "", "b" * 100, "c", None, "", "d" * 3]
-    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts)], names=["id", "text"])
-    for most in (1, 6, 50, 1000):
-        for part in (batch, batch.slice(2, 4), batch.slice(0, 0)):
-            slices = list(C.text_slices(part, 1, most))
-            assert [x for s in slices for x in s.column(0).to_pylist()] == part.column(0).to_pylist()
-            assert all(s.num_rows == 1 or sum(len(t or "") for t in s.column(1).to_pylist()) <= most for s in slices)

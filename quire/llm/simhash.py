@@ -200,10 +200,14 @@ def drop_near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, id_co
 
     Only the ids to keep are joined to the texts. Rows without an id all stay; of rows that repeat id and text one stays.
     """
-    found = C.materialize(near_duplicates(docs, words, radius, id_col, text_col), "near")
+    return keep_least(docs, C.materialize(near_duplicates(docs, words, radius, id_col, text_col), "near"), id_col, text_col)
+
+
+def keep_least(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Of each component of ``found`` (doc_id, component_id; materialized) the row with the smallest id, and rows without an id."""
     key, nth = C.fresh(docs, "q_key"), C.fresh(docs, "q_nth")
     keep = found.filter("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
-    kept = docs.join(keep, F.col(id_col) == F.col(key), "left_semi")
+    kept = docs.join(keep.hint("merge"), F.col(id_col) == F.col(key), "left_semi")
     if not found.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").isEmpty():
         same = Window.partitionBy(id_col, F.xxhash64(C.text_of(text_col))).orderBy(F.lit(1))
         kept = kept.withColumn(nth, F.row_number().over(same)).filter(F.col(nth) == 1).drop(nth)

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from quire.llm import media, simhash
+from quire.llm import media, near_copies, simhash
 from quire.llm.components import components
 
 
@@ -88,6 +88,45 @@ def test_drop_near_duplicates(docs, empty, corpus):
     assert simhash.drop_near_duplicates(empty).count() == 0 and simhash.near_duplicates(empty).count() == 0
 
 
+def jaccard(a, b):
+    def shingles(text):
+        w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        return {" ".join(w[k : k + 5]).lower() for k in range(max(1, len(w) - 4))} if w else set()
+
+    a, b = shingles(a), shingles(b)
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+@pytest.mark.parametrize("block", [512, 7])
+def test_near_copies_are_all_pairs_of_similarity(spark, block):
+    r = np.random.default_rng(8)
+    rows = []
+    for g in range(30):
+        base = [f"w{x}" for x in r.integers(0, 5000, int(r.integers(40, 300)))]
+        for _ in range(12):
+            w = list(base)
+            for k in r.integers(0, len(w), int(r.integers(0, 1 + len(w) // 25))):
+                w[k] = f"x{r.integers(0, 10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    rows += [(1000, None), (1001, " "), (1002, "one two"), (1003, "One two"), (1004, "one two three"), (None, rows[0][1] + " end"), (None, "without an id here at all")]
+    got = {x.doc_id: x.component_id for x in near_copies.near_copies(spark.createDataFrame(rows, "doc_id bigint, text string"), block=block).collect() if x.doc_id is not None}
+    links = [(a, b) for a in range(len(rows)) for b in range(a) if jaccard(rows[a][1], rows[b][1]) >= 0.8]
+    root = classes(len(rows), links)
+    assert got == {row[0]: rows[c][0] for row, c in zip(rows, root, strict=True) if row[0] is not None}
+    direct = sum((brute_fingerprint(rows[a][1]) ^ brute_fingerprint(rows[b][1])).bit_count() <= 4 for a, b in links)
+    assert direct < len(links) / 2  # 4 bits of the fingerprint are not the rule of the stage
+
+
+def test_stage_drops_near_copies(spark):
+    import corpus_pipeline
+
+    words = [f"w{k}" for k in range(200)]
+    other = [*words[:60], "a", *words[61:130], "b", *words[131:]]
+    assert (brute_fingerprint(" ".join(words)) ^ brute_fingerprint(" ".join(other))).bit_count() > 4 and jaccard(" ".join(words), " ".join(other)) >= 0.8
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other))], "doc_id bigint, text string")
+    assert [x.doc_id for x in corpus_pipeline.drop_near_copies(spark, docs, "").collect()] == [1]
+
+
 def test_components_of_paths_and_hubs(spark):
     links = [(k, k + 1) for k in range(50)] + [(1000, 1001 + k) for k in range(300)] + [(5, 5), (2000, 1999), (1999, 2000)]
     got = {r.u: r.v for r in components(spark.createDataFrame(links, "u bigint, v bigint")).collect()}

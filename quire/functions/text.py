@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -127,3 +129,39 @@ def uniform(*key: Column | str, salt: str, seed: int = 42) -> Column:
     """A reproducible number in [0, 1) from a key: 13 hex digits of an MD5, the same in any SQL engine."""
     text = F.concat_ws("|", *[F.col(k).cast("string") if isinstance(k, str) else k.cast("string") for k in key], F.lit(salt), F.lit(str(seed)))
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
+
+
+#: Writes the places of all elements of some classes to a hidden element when a page is loaded.
+POSITION_SCRIPT = """<script>
+window.addEventListener('load', function() {
+    const positionsByClass = {};
+    %s.forEach(className => {
+        positionsByClass[className] = Array.from(document.querySelectorAll('.' + className)).map((element, index) => {
+            const rect = element.getBoundingClientRect();
+            return {index: index, className: className, text: element.textContent.trim(), x: rect.x, y: rect.y, width: rect.width, height: rect.height};
+        });
+    });
+    const dataDiv = document.createElement('div');
+    dataDiv.id = '__positions_data__';
+    dataDiv.style.display = 'none';
+    dataDiv.textContent = JSON.stringify(positionsByClass);
+    document.body.appendChild(dataDiv);
+});
+</script>
+"""
+
+
+def with_position_script(html: Column, classes: tuple[str, ...] = ("handwritten",)) -> Column:
+    """STR8: the script before each ``</body>``, or at the end of a page without one."""
+    script = POSITION_SCRIPT % json.dumps(list(classes))
+    return F.when(F.contains(html, F.lit("</body>")), F.replace(html, F.lit("</body>"), F.lit(script + "</body>"))).otherwise(F.concat(html, F.lit(script)))
+
+
+def dumped_positions(dump: Column, return_code: Column) -> Column:
+    """STR8: class to its elements in pixels and points (96 pixels an inch) from a DOM dump; empty after a failure, without the element or without JSON."""
+    kind = "map<string,array<struct<index:int,text:string,x:double,y:double,width:double,height:double>>>"
+    data = F.regexp_extract(dump, r'<div id="__positions_data__"[^>]*>([^<]+)</div>', 1)
+    names = ("x", "y", "width", "height")
+    place = lambda p: F.struct(p["index"].alias("index"), p["text"].alias("text"), *[(p[k] / 96 * 72).alias(f"{k}_points") for k in names], *[p[k].alias(f"{k}_pixels") for k in names])
+    parsed = F.coalesce(F.from_json(F.when(return_code == 0, data), kind), F.create_map().cast(kind))
+    return F.transform_values(parsed, lambda _, v: F.transform(v, place))

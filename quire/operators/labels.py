@@ -124,3 +124,35 @@ def n_best_spans(logits: DataFrame, n: int = 20, longest: int = 100) -> DataFram
     total = F.aggregate(weights, F.lit(0.0), lambda a, b: a + b)
     rows = kept.withColumn("p", F.transform(weights, lambda w: w / total)).select("id", F.posexplode(F.arrays_zip("best", "p")).alias("nth", "x"))
     return rows.select("id", "nth", F.col("x.best.start").alias("start"), F.col("x.best.end").alias("end"), (-F.col("x.best.neg")).alias("score"), F.col("x.p").alias("probability"))
+
+
+def answered_windows(df: DataFrame, start: str, end: str, others: list[str]) -> DataFrame:
+    """ARR9: of arrays with an element a window, those of windows with a start and an end that are not -1; rows without such a window go. Null arrays stay."""
+    for c in (end, *others):
+        df = df.withColumn(c, F.when(F.size(c) != F.size(start), F.raise_error(F.lit(f"{c}: not as many windows as {start}")).cast(df.schema[c].dataType)).otherwise(F.col(c)))
+    key = "q_windows"
+    while key in df.columns:
+        key += "_"
+    found = F.filter(F.sequence(F.lit(0), F.size(start) - 1), lambda i: (F.get(start, i) != -1) & (F.get(end, i) != -1))
+    kept = df.withColumn(key, F.when(F.size(start) > 0, found)).filter(F.size(key) > 0)
+    pick = lambda c: F.transform(key, lambda i: F.get(c, i))
+    picked = {c: F.when(F.col(c).isNotNull(), pick(c)) for c in (start, end, *others)}
+    return kept.withColumns(picked).drop(key)
+
+
+def gathered_labels(target: Column, logits: Column, names: Column) -> Column:
+    """ARR11: names of target and of the largest logit (the first of equals), at places whose target is not IGNORED: (targets, predictions)."""
+
+    def pick(s: Column) -> Column:
+        both = F.filter(F.arrays_zip(s["t"].alias("t"), s["p"].alias("p")), lambda x: x["t"] != IGNORED)
+        return let(F.struct(both.alias("b"), s["n"].alias("n")), lambda q: F.struct(F.transform(q["b"], lambda x: F.get(q["n"], x["t"])).alias("targets"), F.transform(q["b"], lambda x: F.get(q["n"], x["p"])).alias("predictions")))
+
+    best = F.transform(logits, lambda row: (F.array_position(row, F.array_max(row)) - 1).cast("int"))
+    return let(F.struct(target.alias("t"), best.alias("p"), names.alias("n")), pick)
+
+
+def layout_target(labels: Column, boxes: Column) -> Column:
+    """STR22: ``<x><y><x><y><label>`` of each object, coordinates of 0..1 times 1000 cut to integers, joined by commas."""
+    coords = lambda b: F.array_join(F.transform(b, lambda x: F.concat(F.lit("<"), (x * 1000).cast("int").cast("string"), F.lit(">"))), "")
+    each = F.zip_with(labels, boxes, lambda name, b: F.concat(coords(b), F.lit("<"), name, F.lit(">")))
+    return F.array_join(F.slice(each, F.lit(1), F.least(F.size(labels), F.size(boxes))), ",")

@@ -158,3 +158,15 @@ def iou_pairs(gold: DataFrame, pred: DataFrame, least: float = 0.5) -> DataFrame
     return g.join(p, ["image_id", "label"]).withColumn("iou", G.iou(F.col("g"), F.col("p"))).filter(F.col("iou") >= least).drop("g", "p")
 
 
+
+
+def answer_coverage(questions: DataFrame, by: str) -> DataFrame:
+    """AGG27: of each ``by``: questions, questions with an extractable answer, mean of the best ANLS of extracted and gold answers.
+
+    questions (words, starts, ends, golds arrays): an answer is the words from start to end, both included; -1 is none.
+    """
+    spans = F.filter(F.arrays_zip("starts", "ends"), lambda s: (s["starts"] != -1) & (s["ends"] != -1))
+    found = F.transform(spans, lambda s: F.array_join(F.slice("words", s["starts"] + 1, F.greatest(s["ends"] - s["starts"] + 1, F.lit(0))), " "))
+    best = F.array_max(F.flatten(F.transform("found", lambda a: F.transform("golds", lambda g: anls(a, g)))))
+    scored = questions.withColumn("found", F.coalesce(found, F.array().cast("array<string>"))).withColumn("best", F.coalesce(best, F.lit(0.0)))
+    return scored.groupBy(by).agg(F.count("*").alias("n_questions"), F.count_if(F.size("found") > 0).alias("n_found"), F.avg("best").alias("anls"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import geometry as G
 from quire.functions import text as T
-from quire.operators import boxes, labels, metrics, sampling, stats, summary, vectors, verify
+from quire.operators import boxes, handwriting, labels, metrics, sampling, stats, summary, vectors, verify
 from quire.sources import records, sinks
 
 
@@ -274,3 +274,52 @@ def test_elements(spark):
     assert E.baseline(ink, 0.5).first().baseline == 6 and tuple(E.ink_box(ink).first())[1:] == (0, 3, 2, 8)
     entry = lambda a, *ix: F.struct(F.lit(a).alias("answer"), F.array(*[F.lit(i) for i in ix]).cast("array<int>").alias("indices"))
     assert [tuple(x) for x in value(spark, E.confirmed(F.array(entry("x"), entry("y", 3, 4))))] == [(1, "y", 3, 4)]
+
+
+def test_handwriting_tasks_lines_and_entries(spark):
+    rows = [("a", 0, "h1", "author1", "x", ["1,2,3,4,Hello, you,0,1,2", "1,2,3,4,generation,0,1,1"]), ("a", 1, "h2", None, " two　words ", None), ("a", 2, "h2", None, "more", []), ("a", 3, "h3", None, " ", None)]
+    found = spark.createDataFrame(rows, "source_json string, pos int, hw_id string, author_id string, text string, bboxes array<string>")
+    tasks, logs = handwriting.handwriting_tasks(found, 5, 2)
+    got = {(r.hw_id, r.block_no, r.line_no, r.word_no): r for r in tasks.collect()}
+    assert set(got) == {("h1", 0, 1, 2), ("h1", 0, 1, 1), *(("h2", -1, -1, 100000 + k) for k in range(3))}
+    assert [tuple(s) for s in got["h1", 0, 1, 2].segments] == [("Hel", 0, False), ("lo,", 1, False), ("you", 2, True)]
+    assert [s.token for s in got["h1", 0, 1, 1].segments] == ["gener", "ation"] and got["h1", 0, 1, 1].bbox == [1, 2, 3, 4]
+    assert got["h2", -1, -1, 100002].segments[0].token == "more" and not got["h2", -1, -1, 100002].include_in_sentence
+    assert sorted((r.pos, r.reason, r.num_words) for r in logs.collect()) == [(1, "missing_bbox_generated", 2), (2, "missing_bbox_generated", 1), (3, "missing_bbox_no_text", None)]
+    words = [(0, "a", "h", 0, 1, 10, "b", "A1", False, True, "i"), (1, "a", "h", 0, 1, 2, "a", "A2", False, None, "j"), (2, "a", "h", 0, 1, 3, "c", "A2", True, True, "k"), (3, "a", "h", 0, 0, 9, "d", "A2", False, False, "l")]
+    df = spark.createDataFrame(words, "pos int, source_json string, hw_id string, block_no int, line_no int, word_no int, text string, author_id string, skipped boolean, include_in_sentence boolean, image string")
+    assert [tuple(r) for r in handwriting.sentence_lines(df).collect()] == [("a", "h", 0, 1, "a b", 2)]
+    entry = handwriting.entries(df, ("image",)).first()
+    assert entry.author_id == "A1" and [w.image for w in entry.words] == ["l", "j", "k", "i"]
+
+
+def test_message_seeds(spark):
+    logs = [(0, "b0", ["m1"], {"m1": '["old"]'}), (1, "b1", ["m1", "m2"], {"m1": '[["s1"], ["s2", "s3"]]', "m2": '[["s1"], ["s2", "s3"]]'}), (2, "b2", ["m3", "m4"], {"m3": '["s4"]', "m4": "[]"})]
+    got = {r.message_id: (r.batch_id, r.seeds) for r in handwriting.message_seeds(spark.createDataFrame(logs, "pos int, batch_id string, message_ids array<string>, seeds map<string,string>")).collect()}
+    assert got == {"m1": ("b1", ["s1"]), "m2": ("b1", ["s2", "s3"]), "m3": ("b2", ["s4"]), "m4": ("b2", [])}
+
+
+def test_answered_windows_gathered_labels_layout_target(spark):
+    df = spark.createDataFrame([(1, [-1, 3, 4], [-1, 5, -1], [[1], [2], [3]], None), (2, [-1], [-1], [[1]], None), (3, [], [], [], None)], "id int, s array<int>, e array<int>, x array<array<int>>, y array<int>")
+    assert [tuple(r) for r in labels.answered_windows(df, "s", "e", ["x", "y"]).collect()] == [(1, [3], [5], [[2]], None)]
+    one = spark.range(1).select(F.expr("array(-100, 1, 0)").alias("t"), F.expr("array(array(9d, 1d), array(1d, 1d), array(0d, 2d))").alias("l"), F.expr("array('O', 'B')").alias("n"))
+    got = one.select(labels.gathered_labels(F.col("t"), F.col("l"), F.col("n")).alias("g")).first().g
+    assert (got.targets, got.predictions) == (["B", "O"], ["O", "B"])
+    assert value(spark, labels.layout_target(F.expr("array('T', 'F')"), F.expr("array(array(0.1d, 0.2009d, 0.9999d, 1d), array(0d, 0d, 0.5d, 0.5d))"))) == "<100><200><999><1000><T>,<0><0><500><500><F>"
+
+
+def test_answer_coverage(spark):
+    rows = [("train", ["a", "Big", "cat"], [1, -1], [2, -1], ["big cat"]), ("train", ["a"], [-1], [-1], ["a"]), ("train", ["abcd"], [0], [9], ["zz", "abcx"]), ("test", [], None, None, ["q"])]
+    got = {r.split: r for r in metrics.answer_coverage(spark.createDataFrame(rows, "split string, words array<string>, starts array<int>, ends array<int>, golds array<string>"), "split").collect()}
+    assert (got["train"].n_questions, got["train"].n_found, got["train"].anls) == (3, 2, pytest.approx(1.75 / 3))
+    assert (got["test"].n_questions, got["test"].n_found, got["test"].anls) == (1, 0, 0)
+
+
+def test_position_script(spark):
+    page = value(spark, T.with_position_script(F.lit("<body>x</body>"), ("a", "b")))
+    assert page.startswith("<body>x<script>") and page.endswith("</body>") and '["a", "b"]' in page
+    assert value(spark, T.with_position_script(F.lit("x"))).startswith("x<script>")
+    dump = '<div id="__positions_data__" style="display: none;">{"a": [{"index": 0, "className": "a", "text": "t", "x": 96, "y": 48.0, "width": 4, "height": 8}], "b": []}</div>'
+    got = value(spark, T.dumped_positions(F.lit(dump), F.lit(0)))
+    assert tuple(got["a"][0]) == (0, "t", 72, 36, 3, 6, 96, 48, 4, 8) and got["b"] == []
+    assert value(spark, T.dumped_positions(F.lit(dump), F.lit(1))) == {} and value(spark, T.dumped_positions(F.lit("<p>"), F.lit(0))) == {}

@@ -22,6 +22,8 @@ from quire.llm import _common as C
 #: Sample: documents and symbols of each language, at most (the bound of the labelled sample).
 SAMPLE_DOCS, SAMPLE_SYMBOLS = 64, 16_000
 SYMBOLS, BLOCK = 64, 2048
+#: Bytes of the texts that samples are taken from first; of longer ones so many characters are read.
+SAMPLE_BYTES = (40, 40_000)
 UNDETERMINED = "und"
 _OTHER = SYMBOLS - 1  # a letter that no sample has; symbol 0 stands for all that is between letters
 
@@ -140,16 +142,18 @@ class Model:
 
 
 def sample_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", seed: int = 5, most: int = SAMPLE_DOCS) -> dict[str, list[str]]:
-    """Whole sample texts of each language, by a hash of the id: at most ``most`` documents a language.
+    """Sample texts of each language, by a hash of the id: at most ``most`` documents a language.
 
+    Whole texts of SAMPLE_BYTES come first; others, the longer ones cut, fill up what a language lacks, so that each language with a text is learned.
     Of the window only the first rows of each language leave a task (a group limit), so a frequent language is no hot key.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), C.text_of(text_col).alias("text"))
-    known = rows.filter("lang is not null and id is not null and octet_length(text) between 40 and 40000").select("id", "lang")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id", F.lit(seed)), "id"))
+    rows = rows.withColumn("odd", ~F.octet_length("text").between(*SAMPLE_BYTES))
+    known = rows.filter("lang is not null and id is not null and text != ''").select("id", "lang", "odd")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("odd", F.xxhash64("id", F.lit(seed)), "id"))
     chosen = known.withColumn("nth", rank).filter(F.col("nth") <= most)
-    chosen = C.materialize(chosen, "sample")
-    texts = rows.select("id", "text").join(F.broadcast(chosen), "id").select("lang", "nth", "text").collect()  # bounded by the sample
+    chosen = C.materialize(chosen.drop("odd"), "sample")
+    texts = rows.select("id", F.left("text", F.lit(SAMPLE_BYTES[1])).alias("text")).join(F.broadcast(chosen), "id").select("lang", "nth", "text").collect()  # bounded by the sample
     out: dict[str, list[str]] = {}
     for r in sorted(texts, key=lambda r: (r.lang, r.nth, r.text)):
         out.setdefault(r.lang, []).append(r.text)

@@ -89,6 +89,16 @@ def test_language(docs, empty, corpus):
     assert langid.with_language(empty).count() == 0 and langid.predict(docs, {}).filter("lang_pred != 'und'").count() == 0
 
 
+def test_languages_of_short_or_long_texts_alone_are_learned(spark):
+    rows = [(k, f"ja nein {k}", "de") for k in range(5)] + [(10 + k, "the house " * 5000, "en") for k in range(2)] + [(20 + k, "une maison blanche et un jardin vert ici", "fr") for k in range(70)]
+    rows += [(100, "oui", "fr"), (101, "", "es"), (102, None, "it")]
+    samples = langid.sample_texts(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert sorted(samples) == ["de", "en", "fr"] and len(samples["de"]) == 5
+    assert max(map(len, samples["en"])) == 40_000 and "oui" not in samples["fr"]
+    got = langid.predict(spark.createDataFrame([(1, "ja ja nein"), (2, "the house")], "doc_id bigint, text string"), samples).collect()
+    assert {r.doc_id: r.lang_pred for r in got} == {1: "de", 2: "en"}
+
+
 def test_automaton_parses_greedily():
     r = np.random.default_rng(5)
     for _ in range(30):

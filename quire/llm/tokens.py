@@ -35,7 +35,9 @@ _WORD_LEVEL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N
 
 
 class Encoder:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes, equal to ``Tokenizer.encode(text, add_special_tokens=False)``.
+    """Ids of whole texts as little-endian unsigned 32-bit bytes, equal to ``Tokenizer.encode(text, add_special_tokens=False)`` with
+    ``encode_special_tokens`` set: a text that holds the name of an added token, such as <|endoftext|>, has it encoded as plain text. The library's
+    default gives the id of the added token there.
 
     Known by its pre-tokenizer, a tokenizer is either byte-level (a piece carries the space before it) or word-level (white
     space is dropped); any other is used text by text. A piece is looked up whole, or else by the units that the pattern splits it into;

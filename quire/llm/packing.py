@@ -18,13 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import _common as C
-from quire.llm.tokens import encoder, id_lists
+from quire.llm.tokens import encoder, id_lists, slices_by_bytes, with_end
 
 #: Pieces for one packer, about; open bins of one packer, at most.
 PACKER_PIECES, OPEN_BINS = 25_000, 4096
 
 #: What a worker remembers of the tokenizer: less than for the token store, as stages before have left their traces in the workers.
-CACHE_UNITS, CACHE_PIECES = 350_000, 150_000
+CACHE_UNITS = 300_000
 
 PIECE_SCHEMA = "doc_id bigint, row bigint, piece int, start bigint, length bigint, ids_crc32 bigint, ids array<int>"
 
@@ -66,22 +66,24 @@ class BestFit:
         return chosen, self.capacity - space
 
 
-def _cut(path: str, end_id: int, capacity: int, with_ids: bool, slice_rows: int = 256):
+def _cut(path: str, end_id: int, capacity: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(path, CACHE_UNITS, CACHE_PIECES).encode, int(end_id).to_bytes(4, "little")
+        encode = encoder(path, CACHE_UNITS).encode
         for whole in batches:
-            for at in range(0, whole.num_rows, slice_rows):
-                batch = whole.slice(at, slice_rows)
-                out: list[tuple] = []
-                encoded = encode(batch.column(2).to_pylist())
-                for doc, row, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), encoded, strict=True):
-                    ids = body + end
-                    for k, a in enumerate(range(0, len(ids), 4 * capacity)):
-                        part = ids[a : a + 4 * capacity]
-                        out.append((doc, row, k, a // 4, len(part) // 4, zlib.crc32(part), part if with_ids else b""))
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                columns = [pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)]
-                yield pa.RecordBatch.from_arrays([*columns, id_lists([r[6] for r in out])], names=["doc_id", "row", "piece", "start", "length", "ids_crc32", "ids"])
+            for batch in slices_by_bytes(whole, 2):
+                ids, counts = with_end(*encode(batch.column(2).to_pylist()), end_id)
+                of = np.repeat(np.arange(len(counts)), -(-counts // capacity))  # the text of each piece
+                first = np.searchsorted(of, np.arange(len(counts)))
+                piece = np.arange(len(of)) - first[of]
+                start = piece * capacity
+                length = np.minimum(counts[of] - start, capacity)
+                begin = (np.cumsum(counts) - counts)[of] + start
+                raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
+                crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(begin.tolist(), (begin + length).tolist(), strict=True)]
+                lists = id_lists(ids, length) if with_ids else id_lists(ids[:0], np.zeros(len(of), np.int64))
+                at = pa.array(of)
+                columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "piece", "start", "length", "ids_crc32", "ids"])
 
     return run
 

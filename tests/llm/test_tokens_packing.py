@@ -2,12 +2,13 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quire.llm import _common as C
 from quire.llm.packing import BestFit, pack, pack_documents, pieces
 from quire.llm.queries import tokenizer_path
-from quire.llm.tokens import Encoder, token_digests, write_tokens
+from quire.llm.tokens import Encoder, slices_by_bytes, token_digests, write_tokens
 
 
 def plain(name):
@@ -22,14 +23,40 @@ def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
+FUZZ = "aAb \n\t\r  '’sé́İΣß中0१½\u2003\xa0\x1c\x85😀.,!<|endoftext|>\x00~rvelmdt각"
+
+
+def split_ids(encoded):
+    ids, n = encoded
+    return [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
-def test_pieces_give_the_ids_of_whole_texts(name):
+def test_units_give_the_ids_of_whole_texts(name):
     r = random.Random(1)
-    letters = "aAb \n\t\r  '’sé́İΣß中0१½  \x1c\x85😀.,!<|endoftext|>\x00~"
-    texts = ["".join(r.choices(letters, k=r.randint(0, 40))) for _ in range(4000)] + ["it's we'll I'D", "a   b ", "x\n y", " \n a", "a\tb c\t \t", "<|endoftext|>", "w" * 500]
+    texts = ["".join(r.choices(FUZZ, k=r.randint(0, 40))) for _ in range(6000)] + ["it's we'll I'D", "a   b ", "x\n y", " \n a", "a\tb c\t \t", "<|endoftext|>", "w" * 500, "'s's 'tis ''s !'s 're'll'verb 'r 'l", ""]
     encoder, encode = Encoder(tokenizer_path(name)), plain(name)
     for _ in range(2):  # met for the first time, and remembered
-        assert encoder.encode(texts) == [np.array(encode(t), "<u4").tobytes() for t in texts]
+        assert split_ids(encoder.encode(texts)) == [encode(t) for t in texts]
+    assert [len(x) for x in encoder.encode([])] == [0, 0] and encoder.encode([None, ""])[1].tolist() == [0, 0]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_memory_of_an_encoder_is_bounded(name):
+    encoder, encode = Encoder(tokenizer_path(name), cache_units=3000, slice_bytes=5000), plain(name)
+    for k in range(3):  # many new words at once, again some of those before, longer ones than are remembered
+        texts = [" ".join(f"word{k}x{i}y{j} " + "long" * 30 for i in range(400)) for j in range(10)] + [" ".join(f"word{k - 1}x{i}y0" for i in range(3000))]
+        assert split_ids(encoder.encode(texts)) == [encode(t) for t in texts]
+        assert len(encoder.young) <= 1500 and len(encoder.old) <= 1500
+        assert max(map(len, [*encoder.young, *encoder.old])) <= 64
+
+
+def test_slices_by_bytes():
+    texts = ["a" * n for n in (5, 0, 3, 100, 1, 1, 99)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array([*texts, None, "b"])], names=["i", "t"])
+    found = [s.column(1).to_pylist() for s in slices_by_bytes(batch, 1, 10)]
+    assert sum(found, []) == [*texts, None, "b"]
+    assert all(len(s) == 1 or sum(len(t or "") for t in s) <= 10 for s in found)
 
 
 def test_store_round_trip(spark, docs, corpus):

@@ -1,14 +1,16 @@
 """A class-based n-gram language model (Brown): exchange clustering, class transitions and word emissions.
 
 Text is words (A-Z in lower case, parted by white space) with one end token a document, which is also what stands before the first word.
+A word's probability is P(class | class before) * P(word | class), each smoothed and each summing to one.
 
-Every word is in a unit: the CORE most frequent words are units of their own, all others share SHAPES units by their last letters. Units
-are what the exchange algorithm assigns to classes, from counts of all neighbouring units of the whole training corpus; the table of these counts is
-bounded by the number of units, and it is all that the one clustering task reads. A word's probability is
-P(class | class before) * P(unit | class) * P(word | unit), each smoothed and each summing to one.
+Classes come from two exchanges. The first is of units: the CORE most frequent words are units of their own, all others share SHAPES units by their last
+letters. Units are exchanged one after another in one task, from the counts of all neighbouring units of the whole training corpus, a table
+bounded by the number of units. The second is of words, in parallel: every other word that occurs MIN_COUNT times and more is taken out of the
+class of its shape and put where the likelihood of the class bigrams is highest, by the classes of all its own neighbours, on both sides, against
+the class bigrams of the first exchange. Rarer and unknown words stay in the class of their shape. So the words that are clustered grow with the corpus.
 
-Counts of words are kept exactly for the whole corpus, in a table. The HEAD most frequent words are broadcast with their counts; occurrences
-of other words are joined to the table by shuffling, summed by document. HEAD chooses the way, not the result.
+Words, their counts and classes are a table, the lexicon. The HEAD most frequent words are broadcast with both; occurrences
+of other words are joined to the table by shuffling and go back to the places that they have in their documents. HEAD chooses the way, not the result.
 """
 
 from __future__ import annotations
@@ -23,13 +25,18 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import _common as C
 
-#: Words with a unit of their own; units of the other words; words whose counts are broadcast; classes; passes of the exchange.
+#: Words with a unit of their own; units of the other words; words that are broadcast, at most; classes (128 at most); passes of the first exchange.
 CORE, SHAPES, HEAD, CLASSES, PASSES = 1536, 510, 131_072, 128, 6
+#: Occurrences that a word needs for a class by its own neighbours.
+MIN_COUNT = 3
+#: Words of the head whose neighbours a task counts in a table instead of row by row.
+DENSE = 16_384
 #: The end token as a word: no word has a line end.
 END = b"\n"
 #: Entries of a task's counter before it is emptied.
@@ -93,16 +100,21 @@ class Vocabulary:
         return {w: k for k, w in enumerate(self.words)}, unit
 
 
-def vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
+def vocabulary(counts: DataFrame, head: int | None = None) -> Vocabulary:
     """From a materialized word_counts() table. The head is at most a fixed number of words; totals are over all words.
 
-    The head is all words of at least such a count that they are no more than ``head``; it is found from how many words have each count, so
-    that no task sends a head of its own to the driver.
+    The head is all words of at least such a count that they are no more than ``head``. The count is found from how many words there are in
+    each sixteenth of an octave, a table of some hundred rows.
     """
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     words_only = counts.filter(F.col("word") != F.lit(END))
-    of_count = words_only.groupBy("c").agg(F.count("*").alias("n")).withColumn("upto", F.sum("n").over(Window.orderBy(F.desc("c"))))
-    least = of_count.filter(F.col("upto") <= head).agg(F.min("c")).first()[0]
+    octaves = words_only.groupBy(F.floor(16 * F.log2("c")).alias("octave")).agg(F.count("*").alias("n"), F.min("c").alias("least")).collect()
+    least, room = None, HEAD if head is None else head
+    for r in sorted(octaves, key=lambda r: -r.octave):
+        room -= r.n
+        if room < 0:
+            break
+        least = r.least
     top = words_only.filter(F.col("c") >= least).collect() if least is not None else []
     top.sort(key=lambda r: (-r.c, bytes(r.word)))
     ends = counts.filter(F.col("word") == F.lit(END)).collect()
@@ -233,95 +245,293 @@ def _cluster(units: int, classes: int, passes: int):
 
 
 @dataclass
-class Model:
+class Lexicon:
+    """What the clustering found: the head with the classes of its words, the class of each shape, and the table of all words (word, c, class; class is null where it is that of the shape)."""
+
     vocabulary: Vocabulary
-    classes: np.ndarray
-    transition: np.ndarray  # log10 P(class | class before)
-    emission: np.ndarray  # log10 P(unit | class), for shapes with the denominator of P(word | unit)
-    base: np.ndarray  # log10 of the add-half unigram of each head word
+    classes: np.ndarray  # of each head word
+    shape_classes: np.ndarray
+    distinct: np.ndarray  # words of the training corpus in each class
+    table: DataFrame
 
-    @property
-    def base_denominator(self) -> float:
-        return math.log10(self.vocabulary.total + ADD * (self.vocabulary.distinct + 1))
 
+def _neighbours(sent, unit_classes: np.ndarray, most_dense: int, slice_rows: int = 256):
+    """Counts of the classes before and after each word that is not in the core: h (XXH64 of the word), shape_class, code, n.
 
-def build(vocabulary: Vocabulary, classes: np.ndarray, pairs: np.ndarray) -> Model:
-    """Probabilities from counts: transitions with a prior of PRIOR tokens spread as the classes are, emissions with ADD for each."""
-    v, k = vocabulary, len(pairs)
-    share = (pairs.sum(axis=0) + ADD) / (pairs.sum() + ADD * k)
-    transition = np.log10((pairs + PRIOR * share[None, :]) / (pairs.sum(axis=1, keepdims=True) + PRIOR))
-    in_class = np.bincount(classes, weights=v.unit_tokens + ADD, minlength=k)
-    emission = np.log10((v.unit_tokens + ADD) / in_class[classes])
-    emission[1 + v.core :] -= np.log10(v.shape_tokens + ADD * (v.shape_words + 1))
-    base = np.log10(v.counts + ADD) - math.log10(v.total + ADD * (v.distinct + 1))
-    return Model(v, classes, transition, emission, base)
+    A code is both classes, before * 128 + after, or for the most frequent words one of them: 2**14 + side * 128 + class.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, place, unit = _index(sent)
+        hashes = np.array([xxhash.xxh64_intdigest(w, 42) for w in v.words], np.uint64).view(np.int64)
+        first, dense = 1 + v.core, min(most_dense, len(v.words))
+        table = np.zeros((max(0, dense - first), 256), np.int32)
+        for whole in batches:
+            for a in range(0, whole.num_rows, slice_rows):
+                texts = whole.column(0).slice(a, slice_rows).to_pylist()
+                words, at, units, ends = _sequence(texts, place, unit, first)
+                cls = unit_classes[units]
+                before = np.concatenate([[cls[-1]], cls[:-1]])  # the end token stands before each text
+                after = np.append(cls[1:], 0)
+                middle = np.flatnonzero((at >= first) & (at < dense))
+                row = (at[middle] - first).astype(np.int64) * 256
+                np.add.at(table.reshape(-1), row + before[middle], 1)
+                np.add.at(table.reshape(-1), row + 128 + after[middle], 1)
+                code = before * 128 + after
+                near, far = np.flatnonzero(at >= dense), np.flatnonzero(at < 0)
+                h = np.concatenate([hashes[at[near]], np.array([xxhash.xxh64_intdigest(words[k], 42) for k in far.tolist()], np.uint64).view(np.int64)])
+                which = np.concatenate([near, far])
+                yield _coded(h, cls[which], code[which], np.ones(len(h), np.int64))
+        there = np.flatnonzero(table)
+        at = first + there // 256
+        yield _coded(hashes[at], unit_classes[unit[at]], (1 << 14) + there % 256, table.reshape(-1)[there])
+
+    return run
 
 
-def train(docs: DataFrame, text_col: str = "text", classes: int = CLASSES, passes: int = PASSES) -> tuple[Model, DataFrame]:
-    """The model and the table of exact word counts (word, c) of all whole texts; null texts are empty."""
+def _coded(h: np.ndarray, own: np.ndarray, code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(h), pa.array(own.astype(np.int16)), pa.array(code.astype(np.int32)), pa.array(n.astype(np.int64))], names=["h", "shape_class", "code", "n"])
+
+
+def best_classes(of: np.ndarray, side: np.ndarray, cls: np.ndarray, n: np.ndarray, now: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """The class of each word by one step of exchange against a table of class bigrams that holds them all.
+
+    Entries (of, side, cls, n), sorted by ``of`` and distinct, say that word ``of`` has n neighbours of class ``cls`` before (side 0) or after it (side 1).
+    ``now`` is the class that each word is in. Of classes as good the present one stays, then the first is taken.
+    """
+    words, k = len(now), len(pairs)
+    starts = np.searchsorted(of, np.arange(words))
+    own = now[of]
+    held = np.where(side == 0, pairs[cls, own], pairs[own, cls])
+    stay = np.add.reduceat(_xlogx(held) - _xlogx(np.maximum(held - n, 0)), starts)  # as if it came back to where it is
+    gain = np.zeros((words, k), np.float64)
+    f, both = _xlogx(pairs), (pairs, np.ascontiguousarray(pairs.T))
+    few = 8
+    small = [np.stack([_xlogx(x + j) - _xlogx(x) for j in range(few + 1)]) for x in both]  # of counts up to few: looked up
+    for a in range(0, words, 2048):
+        b = min(a + 2048, words)
+        lo, hi = int(starts[a]), int(starts[b]) if b < words else len(of)
+        s, c, m = side[lo:hi], cls[lo:hi], n[lo:hi]
+        more = np.empty((hi - lo, k))
+        for which in (0, 1):
+            little = np.flatnonzero((s == which) & (m <= few))
+            more[little] = small[which][m[little], c[little]]
+            lots = np.flatnonzero((s == which) & (m > few))
+            more[lots] = _xlogx(both[which][c[lots]] + m[lots, None]) - (f if which == 0 else f.T)[c[lots]]
+        gain[a:b] = np.add.reduceat(more, starts[a:b] - lo, axis=0)
+    for which, total in ((0, pairs.sum(axis=0)), (1, pairs.sum(axis=1))):
+        seen = np.add.reduceat(np.where(side == which, n, 0), starts).astype(np.float64)
+        gain -= _xlogx(total[None, :] + seen[:, None]) - _xlogx(total)[None, :]
+        stay -= _xlogx(total[now]) - _xlogx(np.maximum(total[now] - seen, 0))
+    gain[np.arange(words), now] = stay
+    best = gain.argmax(axis=1)
+    return np.where(gain[np.arange(words), best] > stay + 1e-9, best, now)
+
+
+def _exchange_words(pairs: np.ndarray):
+    """Rows (h, shape_class, code, n) in order of h to (h, class) of the words with MIN_COUNT occurrences and more."""
+
+    def settle(h, now, code, n) -> pa.RecordBatch:
+        single = code >> 14 == 1
+        key = np.concatenate([h, h[~single]])
+        side = np.concatenate([np.where(single, (code >> 7) & 1, 0), np.ones(int((~single).sum()), np.int64)])
+        cls = np.concatenate([np.where(single, code & 127, code >> 7), code[~single] & 127])
+        count = np.concatenate([n, n[~single]])
+        names, of = np.unique(key, return_inverse=True)
+        seen = np.bincount(of, weights=np.where(side == 0, count, 0))
+        kept = seen >= MIN_COUNT
+        rank = np.cumsum(kept) - 1
+        there = kept[of]
+        entry, place = np.unique((rank[of[there]] << 8) | (side[there] << 7) | cls[there], return_inverse=True)
+        total = np.bincount(place, weights=count[there]).astype(np.int64)
+        first = np.searchsorted(h, names[kept])
+        best = best_classes(entry >> 8, (entry >> 7) & 1, entry & 127, total, now[first], pairs) if kept.any() else np.empty(0, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(names[kept]), pa.array(best.astype(np.int16))], names=["h", "class"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(c).to_numpy().astype(np.int64) for c in ("h", "shape_class", "code", "n")]
+            if held is not None:
+                columns = [np.concatenate(x) for x in zip(held, columns, strict=True)]
+            last = int(np.searchsorted(columns[0], columns[0][-1], side="left"))  # the last word may go on in the next batch
+            if last > 1 << 16:
+                yield settle(*(c[:last] for c in columns))
+                held = [c[last:] for c in columns]
+            else:
+                held = columns
+        if held is not None:
+            yield settle(*held)
+
+    return run
+
+
+def _class_of_shape(column: str, classes: np.ndarray) -> Column:
+    return F.element_at(F.array(*[F.lit(int(c)) for c in classes]), (_shape_column(column) + 1).cast("int"))
+
+
+def cluster(docs: DataFrame, text_col: str = "text", classes: int = CLASSES, passes: int = PASSES) -> Lexicon:
+    """Counts and classes of the words of all whole texts; null texts are empty. An empty table gives a lexicon without words."""
+    if not 0 < classes <= 128:
+        raise ValueError("there are 128 classes at most")
+    spark = docs.sparkSession
     counts = C.materialize(word_counts(docs, text_col), "counts")
     v = vocabulary(counts)
-    sent = docs.sparkSession.sparkContext.broadcast(v)
+    sent = spark.sparkContext.broadcast(v)
     rows = docs.select(C.text_of(text_col).alias("text"))
-    pairs = rows.mapInArrow(_count_pairs(sent), "pair int, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+    unit_pairs = rows.mapInArrow(_count_pairs(sent), "pair int, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
     k = min(classes, v.units)
     # at most units ** 2 rows, whatever the corpus
-    fitted = pairs.withColumn("model", F.lit(0)).groupBy("model").applyInArrow(_cluster(v.units, k, passes), "kind int, at bigint, value bigint").toPandas()
-    cls, n = np.zeros(v.units, np.int64), np.zeros(k * k)
-    for kind, out in ((0, cls), (1, n)):
+    fitted = unit_pairs.withColumn("model", F.lit(0)).groupBy("model").applyInArrow(_cluster(v.units, k, passes), "kind int, at bigint, value bigint").toPandas()
+    unit_classes, n = np.zeros(v.units, np.int64), np.zeros(k * k)
+    for kind, out in ((0, unit_classes), (1, n)):
         part = fitted[fitted["kind"] == kind]
         out[part["at"].to_numpy()] = part["value"].to_numpy()
-    return build(v, cls, n.reshape(k, k)), counts
-
-
-PART_SCHEMA = "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, word binary, n bigint"
-
-
-def _score(sent_vocabulary, sent_model, slice_rows: int = 256):
+    shape_classes = unit_classes[1 + v.core :]
+    near = rows.mapInArrow(_neighbours(sent, unit_classes, DENSE), "h bigint, shape_class smallint, code int, n bigint")
+    near = near.groupBy("h", "code").agg(F.sum("n").alias("n"), F.min("shape_class").alias("shape_class"))  # 2**14 + 256 rows a word at most
+    moved = near.repartition(C.partitions_of(spark), "h").sortWithinPartitions("h").mapInArrow(_exchange_words(n.reshape(k, k)), "h bigint, class smallint")
+    named = counts.select("word", "c", F.xxhash64("word").alias("h"))
+    core = spark.createDataFrame([(bytearray(w), int(c)) for w, c in zip(v.words[: 1 + v.core], unit_classes, strict=False)], "word binary, core_class int")
+    table = named.join(moved, "h", "left").join(F.broadcast(core), "word", "left").select("word", "c", F.coalesce("core_class", F.col("class").cast("int")).alias("class"))
+    table = C.materialize(table, "lexicon")
+    own = np.zeros(len(v.words), np.int64)
+    if v.words:
+        place, unit = v.indexed()
+        own[:] = unit_classes[unit]
+        least = int(v.counts[1:].min()) if len(v.words) > 1 else 0
+        for r in table.filter((F.col("c") >= least) & F.col("class").isNotNull()).select("word", "class").collect():  # the head again: at most HEAD words and the end
+            if (at := place.get(bytes(r.word))) is not None:
+                own[at] = r["class"]
+    distinct = np.zeros(k, np.int64)
+    for r in table.groupBy(F.coalesce("class", _class_of_shape("word", shape_classes)).alias("class")).count().collect():  # a row for each class
+        distinct[r["class"]] = r["count"]
+    return Lexicon(v, own, shape_classes, distinct, table)
+
+
+PART_SCHEMA = "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, mass double, classes binary, word binary, pos int"
+SEQUENCE_SCHEMA = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, mass double, classes binary"
+
+
+def _encode(sent, classes: np.ndarray, shape_classes: np.ndarray, slice_rows: int = 256):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, place, unit = _index(sent_vocabulary)
-        m: Model = sent_model.value
-        log_of = np.log10(v.counts + ADD) if len(v.counts) else np.zeros(1)
-        shaped = unit > v.core  # head words that share a unit
+        v, place, unit = _index(sent)
+        log_of = np.append(np.log10(v.counts + ADD), 0.0)  # 0 for words that are not in the head
         for whole in batches:
             for a in range(0, whole.num_rows, slice_rows):
                 batch = whole.slice(a, slice_rows)
                 words, at, units, ends = _sequence(batch.column(3).to_pylist(), place, unit, 1 + v.core)
-                before = np.concatenate([[0], units[:-1]])
                 known = at >= 0
-                score = m.transition[m.classes[before], m.classes[units]] + m.emission[units]
-                score[known] += np.where(shaped[at[known]], log_of[at[known]], 0.0)
-                base = np.where(known, m.base[at], -m.base_denominator)
+                cls = shape_classes[np.maximum(units - 1 - v.core, 0)]
+                cls[known] = classes[at[known]]
                 begins = np.concatenate([[0], ends[:-1]])
-                doc = np.repeat(np.arange(len(ends)), ends - begins)
-                rare = Counter(zip(doc[~known].tolist(), [words[k] for k in np.flatnonzero(~known).tolist()], strict=True))
-                n, r = len(ends), len(rare)
-                sums = [np.add.reduceat(x, begins) for x in ((known & (v.counts[at] > 0)).astype(np.int64), base, score)]
-                row, ids, held = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
+                far = np.flatnonzero(~known)
+                doc = np.searchsorted(ends, far, side="right")
+                n, r = len(ends), len(far)
+                known_of, mass = np.add.reduceat((known & (v.counts[at] > 0)).astype(np.int64), begins), np.add.reduceat(log_of[at], begins)
+                raw = cls.astype(np.uint8).tobytes()
+                sequences = [raw[x:y] for x, y in zip(begins.tolist(), ends.tolist(), strict=True)]
+                row = batch.column(0).to_numpy()
+                columns = [pa.concat_arrays([x, pa.nulls(r, x.type)]) for x in (batch.column(1), batch.column(2), pa.array(ends - begins), pa.array(known_of), pa.array(mass), pa.array(sequences, pa.binary()))]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(row + [row[d] for d, _ in rare], pa.int64()), pa.array(ids + [None] * r, pa.int64()), pa.concat_arrays([held, pa.nulls(r, pa.bool_())]),
-                     pa.array((ends - begins).tolist() + [None] * r, pa.int64()), pa.array(sums[0].tolist() + [None] * r, pa.int64()), pa.array(sums[1].tolist() + [None] * r, pa.float64()),
-                     pa.array(sums[2].tolist() + [None] * r, pa.float64()), pa.array([None] * n + [w for _, w in rare], pa.binary()), pa.array([None] * n + list(rare.values()), pa.int64())],
-                    names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "word", "n"],
+                    [pa.array(np.concatenate([row, row[doc]])), *columns, pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array([words[k] for k in far.tolist()], pa.binary())]),
+                     pa.concat_arrays([pa.nulls(n, pa.int32()), pa.array((far - begins[doc]).astype(np.int32))])],
+                    names=["row", "doc_id", "held_out", "n_tokens", "n_known", "mass", "classes", "word", "pos"],
                 )
 
     return run
 
 
-def score(docs: DataFrame, model: Model, counts: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every whole text; null texts are empty (one end token).
+def _fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Classes that were looked up go to their places; ``found`` is a list of pos * 128 + class."""
+    for batch in batches:
+        filled = []
+        for raw, found in zip(batch.column("classes"), batch.column("found"), strict=True):
+            if found.is_valid and len(found):
+                cls, codes = np.frombuffer(raw.as_py(), np.uint8).copy(), found.values.to_numpy()
+                cls[codes >> 7] = codes & 127
+                filled.append(cls.tobytes())
+            else:
+                filled.append(raw.as_py())
+        names = [x for x in batch.schema.names if x not in ("classes", "found")]
+        yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array(filled, pa.binary())], names=[*names, "classes"])
+
+
+def encode(docs: DataFrame, lexicon: Lexicon, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, mass (sum of log10 of each token's count + ADD), classes (a byte a token) of every whole text, materialized."""
+    sent = docs.sparkSession.sparkContext.broadcast(lexicon.vocabulary)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("bigint").alias("doc_id"), held_out.alias("held_out"), C.text_of(text_col).alias("text"))
+    parts = C.materialize(rows.mapInArrow(_encode(sent, lexicon.classes, lexicon.shape_classes), PART_SCHEMA), "parts")
+    far = parts.filter("word is not null").select("row", "pos", "word").join(lexicon.table, "word", "left")
+    place = F.when(F.col("class").isNotNull(), F.col("pos").cast("bigint") * 128 + F.col("class"))  # nulls are left out of the list
+    found = far.groupBy("row").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + ADD)).alias("more"), F.count("c").alias("more_known"), F.collect_list(place).alias("found"))
+    joined = parts.filter("word is null").join(found, "row", "left")
+    known, mass = F.col("n_known") + F.coalesce("more_known", F.lit(0)), F.col("mass") + F.coalesce("more", F.lit(0.0))
+    done = joined.select("doc_id", "held_out", "n_tokens", known.alias("n_known"), mass.alias("mass"), "classes", "found").mapInArrow(_fill, SEQUENCE_SCHEMA)
+    return C.materialize(done, "sequences")
+
+
+def _count_classes(k: int, end: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(k * k, np.int64)
+        for batch in batches:
+            for raw in batch.column(0):
+                cls = np.frombuffer(raw.as_py(), np.uint8).astype(np.int64)
+                seen += np.bincount(np.concatenate([[end], cls[:-1]]) * k + cls, minlength=k * k)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k * k, dtype=np.int32)), pa.array(seen)], names=["pair", "n"])
+
+    return run
+
+
+@dataclass
+class Model:
+    transition: np.ndarray  # log10 P(class | class before)
+    denominator: np.ndarray  # log10 of what a word's count + ADD is divided by in its class
+    base: float  # the same for the add-half unigram
+    end: int  # class of the end token
+    total: int
+
+
+def estimate(pairs: np.ndarray, lexicon: Lexicon) -> Model:
+    """Probabilities from the class bigrams: transitions with a prior of PRIOR tokens spread as the classes are, emissions with ADD for each word and one unknown."""
+    v, k = lexicon.vocabulary, len(pairs)
+    share = (pairs.sum(axis=0) + ADD) / (pairs.sum() + ADD * k)
+    transition = np.log10((pairs + PRIOR * share[None, :]) / (pairs.sum(axis=1, keepdims=True) + PRIOR))
+    denominator = np.log10(pairs.sum(axis=0) + ADD * (lexicon.distinct + 1))
+    return Model(transition, denominator, math.log10(v.total + ADD * (v.distinct + 1)), int(lexicon.classes[0]) if v.words else 0, v.total)
+
+
+def train(sequences: DataFrame, lexicon: Lexicon) -> Model:
+    """The model from the encoded texts that it may learn from; what comes to the driver is a row for each pair of classes."""
+    k = len(lexicon.distinct)
+    end = int(lexicon.classes[0]) if lexicon.vocabulary.words else 0
+    pairs = np.zeros(k * k)
+    for r in sequences.select("classes").mapInArrow(_count_classes(k, end), "pair int, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        pairs[r.pair] = r.n
+    return estimate(pairs.reshape(k, k), lexicon)
+
+
+def _score(m: Model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mass, out = batch.column("mass").to_numpy(), []
+            for raw, known in zip(batch.column("classes"), mass.tolist(), strict=True):
+                cls = np.frombuffer(raw.as_py(), np.uint8)
+                out.append(known + float((m.transition[np.concatenate([[m.end], cls[:-1]]), cls] - m.denominator[cls]).sum()))
+            names = ["doc_id", "held_out", "n_tokens", "n_known"]
+            base = mass - batch.column("n_tokens").to_numpy() * m.base
+            total = pa.array(np.full(batch.num_rows, m.total, np.int64))
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), total, pa.array(base), pa.array(out, pa.float64())], names=[*names, "train_tokens", "base_score", "score"])
+
+    return run
+
+
+def score(sequences: DataFrame, model: Model) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every encoded text.
 
-    ``base_score`` is the add-half unigram, ``score`` the class model, both sums of log10 probabilities over all tokens. Rows that repeat are each scored.
+    ``base_score`` is the add-half unigram, ``score`` the class model, both sums of log10 probabilities over all tokens. An empty text is one end
+    token. Rows that repeat are each scored; an empty table gives no rows.
     """
-    context = docs.sparkSession.sparkContext
-    sent_vocabulary, sent_model = context.broadcast(model.vocabulary), context.broadcast(model)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("bigint").alias("doc_id"), held_out.alias("held_out"), C.text_of(text_col).alias("text"))
-    parts = C.materialize(rows.mapInArrow(_score(sent_vocabulary, sent_model), PART_SCHEMA), "scored")
-    rare = parts.filter("word is not null").select("row", "word", "n").join(counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    more = rare.groupBy("row").agg(F.sum(F.col("n") * F.log10(F.col("c") + ADD)).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("more_known"))
-    joined = parts.filter("word is null").join(more, "row", "left")
-    extra = F.coalesce("more", F.lit(0.0))
-    return joined.select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(model.vocabulary.total).cast("bigint").alias("train_tokens"),
-        (F.col("base") + extra).alias("base_score"), (F.col("score") + extra).alias("score"),
-    )
+    return sequences.mapInArrow(_score(model), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")

@@ -78,12 +78,13 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quire.llm.brown_lm import score, train
+    from quire.llm.brown_lm import cluster, encode, score, train
 
     docs = C.documents(spark, sf_dir)
     held_out = C.remainder("doc_id", 5) == HELD_OUT_5
-    model, counts = train(docs.filter(~held_out))
-    return score(docs, model, counts, held_out)
+    lexicon = cluster(docs.filter(~held_out))
+    sequences = encode(docs, lexicon, held_out)
+    return score(sequences, train(sequences.filter("not held_out"), lexicon))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -138,34 +139,114 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.train(empty.drop("lang"), labels) == [] or toxicity.score(empty, []).count() == 0
 
 
-def test_language_model(docs, corpus):
+def fit(docs, held=None):
+    held = F.lit(False) if held is None else held
+    lexicon = brown_lm.cluster(docs.filter(~held))
+    sequences = brown_lm.encode(docs, lexicon, held)
+    return lexicon, sequences, brown_lm.train(sequences.filter("not held_out"), lexicon)
+
+
+def lm_tokens(text):
+    return C.split_words(text or "", True) + [b"\n"]
+
+
+def test_language_model(docs, corpus, monkeypatch):
+    monkeypatch.setattr(brown_lm, "CORE", 20)
     held = C.remainder("doc_id", 5) == 1
-    model, counts = brown_lm.train(docs.filter(~held))
-    tokens = lambda t: [w.decode() for w in C.split_words(t or "", True)] + ["\n"]
-    train = [r for r in corpus if r[0] is None or zlib.crc32(str(r[0]).encode()) % 5 != 1]
-    c = Counter(w for r in train for w in tokens(r[1]))
+    lexicon, sequences, model = fit(docs, held)
+    is_held = lambda r: r[0] is not None and zlib.crc32(str(r[0]).encode()) % 5 == 1
+    train = [r for r in corpus if not is_held(r)]
+    c = Counter(w for r in train for w in lm_tokens(r[1]))
     n, v = sum(c.values()), len(c)
-    assert {bytes(r.word).decode(): r.c for r in counts.collect()} == dict(c)
-    got = brown_lm.score(docs, model, counts, held).collect()
+    table = {bytes(r.word): (r.c, r["class"]) for r in lexicon.table.collect()}
+    assert {w: x[0] for w, x in table.items()} == dict(c)
+    # every word of the core and every other with enough occurrences has a class of its own neighbours
+    core = set(lexicon.vocabulary.words[:21])
+    assert all((k is not None) == (w in core or x >= brown_lm.MIN_COUNT) for w, (x, k) in table.items())
+    # the model by brute force from the classes
+    shape = lambda w: int(lexicon.shape_classes[brown_lm.shape_of(w)])
+    assert any(k not in (None, shape(w)) for w, (x, k) in table.items() if w not in core)
+    cls = lambda w: shape(w) if table.get(w, (0, None))[1] is None else table[w][1]
+    k = len(lexicon.distinct)
+    pairs, distinct = np.zeros((k, k)), Counter(cls(w) for w in c)
+    for r in train:
+        s = [cls(w) for w in lm_tokens(r[1])]
+        for a, b in zip([cls(b"\n"), *s[:-1]], s, strict=True):
+            pairs[a, b] += 1
+    share = (pairs.sum(axis=0) + 0.5) / (pairs.sum() + 0.5 * k)
+
+    def score(text):
+        total, before = 0.0, cls(b"\n")
+        for w in lm_tokens(text):
+            now = cls(w)
+            total += np.log10((pairs[before, now] + 20 * share[now]) / (pairs[before].sum() + 20))
+            total += np.log10((c[w] + 0.5) / (pairs[:, now].sum() + 0.5 * (distinct[now] + 1)))
+            before = now
+        return total
+
+    got = brown_lm.score(sequences, model).collect()
     assert len(got) == len(corpus)
     texts = {r[0]: r[1] for r in corpus}
     for r in got:
         if r.doc_id is None:
+            assert not r.held_out
             continue
-        t = tokens(texts[r.doc_id])
+        t = lm_tokens(texts[r.doc_id])
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(c[w] > 0 for w in t), n)
         assert r.base_score == pytest.approx(sum(np.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t))
-        assert r.score < 0
+        assert r.score == pytest.approx(score(texts[r.doc_id]))
 
 
-def test_language_model_probabilities_sum_to_one(docs, monkeypatch):
-    monkeypatch.setattr(brown_lm, "CORE", 20)
-    model, _ = brown_lm.train(docs)
+def test_the_head_chooses_the_way_only(docs, monkeypatch):
+    monkeypatch.setattr(brown_lm, "CORE", 6)
+    found = []
+    for head, dense in ((131_072, 16_384), (131_072, 40), (60, 16_384), (12, 10)):
+        monkeypatch.setattr(brown_lm, "HEAD", head)
+        monkeypatch.setattr(brown_lm, "DENSE", dense)
+        lexicon, sequences, model = fit(docs)
+        assert lexicon.vocabulary.core == 6
+        got = brown_lm.score(sequences, model).select("n_tokens", "n_known", F.round("base_score", 6), F.round("score", 6)).collect()
+        found.append(sorted(map(tuple, got)))
+    assert found[1:] == found[:1] * 3
+
+
+def test_language_model_probabilities_sum_to_one(docs):
+    lexicon, _, model = fit(docs)
     assert np.allclose((10**model.transition).sum(axis=1), 1)
-    v = model.vocabulary
-    per_unit = 10**model.emission
-    per_unit[1 + v.core :] *= v.shape_tokens + 0.5 * (v.shape_words + 1)
-    assert np.allclose(np.bincount(model.classes, weights=per_unit, minlength=len(model.transition))[np.unique(model.classes)], 1)
+    total = np.zeros(len(lexicon.distinct))
+    for r in lexicon.table.collect():
+        own = r["class"] if r["class"] is not None else lexicon.shape_classes[brown_lm.shape_of(bytes(r.word))]
+        total[own] += r.c + 0.5
+    there = lexicon.distinct > 0
+    assert np.allclose(((total + 0.5) / 10**model.denominator)[there], 1)
+
+
+def test_best_classes_by_brute_force():
+    r = np.random.default_rng(3)
+    k, words = 7, 40
+    pairs = r.integers(0, 30, (k, k)).astype(float)
+    f = lambda x: 0.0 if x <= 0 else x * math.log(max(x, 1))
+    now, entries, left, right = r.integers(0, k, words), [], [], []
+    for w in range(words):
+        lr = r.integers(0, 4, (2, k)) * (r.random((2, k)) < 0.6)
+        lr[0, 0] += 1 + 12 * (w % 5 == 0)
+        lr[1, 1] += lr[0].sum() - lr[1].sum() if lr[0].sum() > lr[1].sum() else 0
+        left.append(lr[0])
+        right.append(lr[1])
+        pairs[:, now[w]] += lr[0]
+        pairs[now[w]] += lr[1]
+        entries += [(w, s, c, lr[s, c]) for s in (0, 1) for c in range(k) if lr[s, c]]
+    of, side, cls, n = map(np.array, zip(*entries, strict=True))
+    got = brown_lm.best_classes(of, side, cls, n, now, pairs)
+    for w in range(words):
+        gains = []
+        for c in range(k):
+            sign = -1 if c == now[w] else 1  # where it is: what it would lose by leaving
+            g = sum(f(pairs[a, c] + sign * x) - f(pairs[a, c]) for a, x in enumerate(left[w])) + sum(f(pairs[c, b] + sign * x) - f(pairs[c, b]) for b, x in enumerate(right[w]))
+            g -= f(pairs[:, c].sum() + sign * left[w].sum()) - f(pairs[:, c].sum()) + f(pairs[c].sum() + sign * right[w].sum()) - f(pairs[c].sum())
+            gains.append(sign * g)
+        best = max(gains)
+        assert gains[got[w]] == pytest.approx(best)
 
 
 def test_exchange_finds_blocks():
@@ -178,5 +259,8 @@ def test_exchange_finds_blocks():
 
 
 def test_language_model_of_nothing(empty):
-    model, counts = brown_lm.train(empty)
-    assert brown_lm.score(empty, model, counts, F.lit(False)).count() == 0
+    _, sequences, model = fit(empty)
+    assert brown_lm.score(sequences, model).count() == 0
+    _, sequences, model = fit(empty.sparkSession.createDataFrame([(1, "a b"), (1, "a b"), (None, None)], "doc_id bigint, text string"), F.col("doc_id").isNotNull())
+    got = brown_lm.score(sequences, model).collect()
+    assert sorted((r.n_tokens, r.n_known, r.train_tokens) for r in got) == [(1, 1, 1), (3, 1, 1), (3, 1, 1)] and all(r.score < 0 for r in got)

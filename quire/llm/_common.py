@@ -79,6 +79,12 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def by_content(df: DataFrame) -> list[Column]:
+    """An order of rows by what they hold, so that which one of some equal rows stays is the same on a retry: a hash of all columns without maps."""
+    plain = [F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    return [F.xxhash64(*plain)] if plain else [F.lit(1)]
+
+
 def remainder(column: str, modulus: int) -> Column:
     """crc32 of a column's decimal text, modulo a number; -1 for null, so that null ids are never held out."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % modulus, F.lit(-1).cast("bigint"))

@@ -6,30 +6,46 @@ direction that a coin with fair odds says, until one of the two has probability
 source's total of words are kept, so all that a source can miss of its target is the last residual, less than one document.
 
 Documents are dealt by a hash into groups of bounded size within their source; each group leaves at most one residual, and residuals meet
-in a reduction tree of groups of FAN until each source has one. A source with a third of all documents has more groups, not a larger one.
+in a reduction tree of groups of FAN until each source has one, which its own coin rounds. A source with a third of all documents has more groups, not a
+larger one. In a group documents go from long to short, so that what is left is a short document, as a rule. All coins come from hashes of id, text and
+source: they don't depend on files, partitions or cores.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm import _common as C
 
 #: Documents in a leaf of the reduction tree, about; residuals in an inner node.
 LEAF, FAN = 8192, 1024
-#: Runs of coins that the last group of a source has to choose from.
-LAST_TRIES = 16
 #: Sources whose targets are broadcast; beyond it they are joined by shuffling.
 BROADCAST_SOURCES = 100_000
 
 
 def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, row, source, size (words of the whole text, 0 for null)."""
+    """doc_id, row, key (a hash of id, text and source), source, size (words of the whole text, 0 for null)."""
     count = F.regexp_count(C.text_of(text_col), F.lit(C.WORD_PATTERN)).cast("bigint")
-    return docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(source_col).cast("string").alias("source"), count.alias("size"))
+    return docs.select(
+        F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), key_of(id_col, text_col, source_col).alias("key"), F.col(source_col).cast("string").alias("source"), count.alias("size")
+    )
+
+
+def key_of(id_col: str, text_col: str, source_col: str) -> Column:
+    return F.xxhash64(F.col(id_col).cast("string"), F.coalesce(F.col(source_col).cast("string"), F.lit("\0")), C.text_of(text_col))
+
+
+def numbered(table: DataFrame) -> DataFrame:
+    """A materialized sizes() table with keys of its own for rows that repeat: the occurrence counts too (such rows are alike, so any order will do)."""
+    twice = table.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    if twice.isEmpty():
+        return table
+    again = table.join(twice, "key", "left_semi").withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("row")))
+    again = again.withColumn("key", F.when(F.col("nth") == 1, F.col("key")).otherwise(F.xxhash64("key", "nth"))).drop("nth")
+    return table.join(twice, "key", "left_anti").select(*table.columns).unionByName(again.select(*table.columns))
 
 
 def targets(table: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3.0) -> DataFrame:
@@ -92,26 +108,24 @@ def _snap(x: float) -> float:
     return 0.0 if x < 1e-9 else 1.0 if x > 1.0 - 1e-9 else x
 
 
-ROUND_SCHEMA = "row bigint, source string, size bigint, whole int, p double, n_groups bigint, done boolean"
+ROUND_SCHEMA = "row bigint, key bigint, source string, size bigint, p double, n_groups bigint, done boolean"
 
 
 def _round_group(seed: int, level: int):
     def run(table: pa.Table) -> pa.Table:
-        row, size, p = (table.column(c).to_numpy().copy() for c in ("row", "size", "p"))
-        order = np.lexsort((_unit(seed, 2 * level, row), -size))  # the last residual is then a short document, as a rule
-        masses, best = size[order].tolist(), None
-        # the last group of a source takes the coins that leave the least to round off
-        for k in range(LAST_TRIES if table.column("n_groups")[0].as_py() == 1 else 1):
-            probabilities = p[order].tolist()
-            left = pivotal(probabilities, masses, _unit(seed + 1000 * k, 2 * level + 1, row)[order].tolist())
-            off = 0.0 if left < 0 else masses[left] * min(probabilities[left], 1.0 - probabilities[left])
-            if best is None or off < best[0]:
-                best = (off, left, probabilities)
-        _, left, p[order] = best
-        done = np.ones(len(row), bool)
+        key, size, p = (table.column(c).to_numpy().copy() for c in ("key", "size", "p"))
+        order = np.lexsort((key, _unit(seed, 3 * level, key), -size))
+        probabilities = p[order].tolist()
+        left = pivotal(probabilities, size[order].tolist(), _unit(seed, 3 * level + 1, key)[order].tolist())
+        done = np.ones(len(key), bool)
         if left >= 0:
-            done[order[left]] = False
-        return table.select(["row", "source", "size", "whole"]).append_column("p", pa.array(p)).append_column("n_groups", table.column("n_groups")).append_column("done", pa.array(done))
+            at = order[left]
+            if table.column("n_groups")[0].as_py() == 1:  # the last residual of a source
+                probabilities[left] = float(_unit(seed, 3 * level + 2, key[at : at + 1])[0] < probabilities[left])
+            else:
+                done[at] = False
+        p[order] = probabilities
+        return table.select(["row", "key", "source", "size"]).append_column("p", pa.array(p)).append_column("n_groups", table.column("n_groups")).append_column("done", pa.array(done))
 
     return run
 
@@ -119,29 +133,29 @@ def _round_group(seed: int, level: int):
 def mix(table: DataFrame, target_table: DataFrame, seed: int = 1) -> DataFrame:
     """row, doc_id, source, size, source_size, target, copies for each row of a materialized sizes() table.
 
-    Every document of a source at rate r has floor(r) or ceil(r) copies; empty documents have floor(r). Reruns agree: coins come
-    from row numbers. The last residual of a source goes to the nearer whole number. No rows give no rows.
+    Every document of a source at rate r has floor(r) or ceil(r) copies, with the expectation r; empty documents have floor(r). Reruns agree, on any
+    number of cores: coins come from the rows' keys. No rows give no rows.
     """
+    table = numbered(table)
     target_table = C.materialize(target_table, "targets")
     n_sources = target_table.count()
     rates = target_table.select(F.col("source").alias("of"), "docs", "source_size", "target")
     rates = F.broadcast(rates) if n_sources <= BROADCAST_SOURCES else rates
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rated = table.join(rates, F.col("source").eqNullSafe(F.col("of"))).withColumn("rate", F.when(F.abs(rate - F.round(rate)) < 1e-12, F.round(rate)).otherwise(rate))
-    rated = rated.select("row", "doc_id", "source", "size", "source_size", "target", F.floor("rate").cast("int").alias("whole"), (F.col("rate") - F.floor("rate")).alias("p"), F.ceil(F.col("docs") / LEAF).alias("n_groups"))
-    open_rows = rated.filter("size > 0 and p > 0").select("row", "source", "size", "whole", "p", "n_groups")
+    rated = rated.select("row", "key", "doc_id", "source", "size", "source_size", "target", F.floor("rate").cast("int").alias("whole"), (F.col("rate") - F.floor("rate")).alias("p"), F.ceil(F.col("docs") / LEAF).alias("n_groups"))
+    open_rows = rated.filter("size > 0 and p > 0").select("row", "key", "source", "size", "p", "n_groups")
     level, decided = 0, []
     groups = (target_table.agg(F.max("docs")).first()[0] or 1) // LEAF + 1
     while True:
-        keyed = open_rows.withColumn("part", F.pmod(F.xxhash64("row", F.lit(level)), F.col("n_groups")))
+        keyed = open_rows.withColumn("part", F.pmod(F.xxhash64("key", F.lit(level)), F.col("n_groups")))
         rounded = C.materialize(keyed.groupBy("source", "part", "n_groups").applyInArrow(_round_group(seed, level), ROUND_SCHEMA), "rounded")
         decided.append(rounded.filter("done"))
-        left = rounded.filter("not done")
         if groups <= 1:
-            decided.append(left.withColumn("p", F.round("p")))
             break
+        left = rounded.filter("not done")
         groups, level = -(-groups // FAN), level + 1
-        open_rows = left.select("row", "source", "size", "whole", "p", F.ceil(F.col("n_groups") / FAN).alias("n_groups"))
+        open_rows = left.select("row", "key", "source", "size", "p", F.ceil(F.col("n_groups") / FAN).alias("n_groups"))
     chosen = decided[0]
     for more in decided[1:]:
         chosen = chosen.unionByName(more)
@@ -161,17 +175,19 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), most: float = 3.0, seed: int = 1) -> DataFrame:
     """The mixed documents themselves: each as often as it has copies, all columns unchanged.
 
-    Copies belong to ids; rows that share an id share what its rows were given, dealt out in any order.
+    Copies belong to rows by id, text and source; what rows have that share all three is dealt out among them in the order of their other columns. Null
+    ids, texts and sources are values like others, a null text has no words. An empty table gives no rows.
     """
     table = C.materialize(sizes(docs, id_col, text_col, source_col), "sizes")
     copies = mix(table, targets(table, weights, most), seed)
-    nth, key, at, n, each = (C.fresh(docs, c) for c in ("q_nth", "q_key", "q_at", "q_copies", "q_each"))
-    plan = copies.filter("copies > 0").select(F.col("doc_id").alias(key), F.col("copies").alias(n))
-    if table.groupBy("doc_id").count().filter("count > 1 or doc_id is null").isEmpty():
-        joined = docs.join(plan, F.col(id_col) == F.col(key))
+    nth, own, key, at, n, each = (C.fresh(docs, c) for c in ("q_nth", "q_own", "q_key", "q_at", "q_copies", "q_each"))
+    marked = docs.withColumn(own, key_of(id_col, text_col, source_col))
+    plan = copies.join(table.select("row", F.col("key").alias("first_key")).hint("merge"), "row")
+    if table.groupBy("key").count().filter("count > 1").isEmpty():
+        joined = marked.join(plan.filter("copies > 0").select(F.col("first_key").alias(key), F.col("copies").alias(n)).hint("merge"), F.col(own) == F.col(key))
     else:
-        plan = copies.withColumn("at", F.row_number().over(Window.partitionBy("doc_id").orderBy("row"))).filter("copies > 0")
-        plan = plan.select(F.col("doc_id").alias(key), F.col("copies").alias(n), F.col("at").alias(at))
-        numbered = docs.withColumn(nth, F.row_number().over(Window.partitionBy(id_col).orderBy(F.lit(1))))
-        joined = numbered.join(plan, F.col(id_col).eqNullSafe(F.col(key)) & (F.col(nth) == F.col(at))).drop(nth, at)
-    return joined.withColumn(each, F.explode(F.sequence(F.lit(1), F.col(n)))).drop(key, n, each)
+        plan = plan.withColumn("at", F.row_number().over(Window.partitionBy("first_key").orderBy(F.desc("copies")))).filter("copies > 0")
+        plan = plan.select(F.col("first_key").alias(key), F.col("copies").alias(n), F.col("at").alias(at))
+        ranked = marked.withColumn(nth, F.row_number().over(Window.partitionBy(own).orderBy(*C.by_content(docs))))
+        joined = ranked.join(plan.hint("merge"), (F.col(own) == F.col(key)) & (F.col(nth) == F.col(at))).drop(nth, at)
+    return joined.withColumn(each, F.explode(F.sequence(F.lit(1), F.col(n)))).drop(own, key, n, each)

@@ -80,17 +80,26 @@ def test_take(docs, empty):
     assert take(empty).count() == 0 and mix_documents(empty).count() == 0
 
 
-def test_pivotal_keeps_mass_and_expectation():
+@pytest.mark.parametrize("longest", [30, 2000])
+def test_pivotal_keeps_mass_and_expectation(longest):
     r = np.random.default_rng(1)
-    sums = np.zeros(30)
-    for _ in range(2000):
-        p0, mass = np.linspace(0.05, 0.95, 30), np.arange(1, 31)
+    over, sums, mass = 0, np.zeros(30), np.array([longest, *range(29, 0, -1)])
+    p0 = np.linspace(0.05, 0.95, 30)
+    for _ in range(3000):
         p = p0.tolist()
         left = pivotal(p, mass.tolist(), r.random(30).tolist())
         assert np.dot(p, mass) == pytest.approx(np.dot(p0, mass))
         assert all(x in (0.0, 1.0) for k, x in enumerate(p) if k != left)
+        over += mass[left] if left >= 0 else 0
         sums += p
-    assert np.abs(sums / 2000 - p0).max() < 0.05
+    assert np.abs(sums / 3000 - p0).max() < 0.04
+    assert longest == 2000 or over / 3000 < 4  # of 30 documents with 1 to 30 words
+
+
+def test_pivotal_of_whole_probabilities():
+    assert pivotal([], [], []) == -1
+    p = [0.0, 1.0, 0.5]
+    assert pivotal(p, [3, 2, 1], [0.1] * 3) == 2 and p == [0.0, 1.0, 0.5]
 
 
 def test_language(docs, empty, corpus):

@@ -106,7 +106,7 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def split_large_cells(cells: DataFrame, point: str, block: int) -> DataFrame:
+def split_large_cells(cells: DataFrame, point: str | list[str], block: int) -> DataFrame:
     """``cells`` (cell bigint, point columns) with cells over ``block`` rows cut into pairs of blocks, each a cell of its own.
 
     A row goes to every pair that its block makes, itself included, so each pair of rows of a cell meets in at least one.
@@ -117,7 +117,7 @@ def split_large_cells(cells: DataFrame, point: str, block: int) -> DataFrame:
         return cells
     marked = cells.join(F.broadcast(large) if n_large <= 10_000 else large, "cell", "left")
     blocks = F.ceil(F.coalesce("q_count", F.lit(1)) / block).cast("int")
-    own = F.pmod(F.xxhash64(point, F.lit(3)), blocks).cast("int")
+    own = F.pmod(F.xxhash64(*([point] if isinstance(point, str) else point), F.lit(3)), blocks).cast("int")
     pairs = marked.withColumn("q_own", own).withColumn("q_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     named = F.when(F.col("q_count").isNull(), F.col("cell")).otherwise(F.xxhash64("cell", F.least("q_own", "q_other"), F.greatest("q_own", "q_other")))
     return pairs.withColumn("cell", named).select(*cells.columns)

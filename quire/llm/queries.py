@@ -47,7 +47,7 @@ def op5_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     # no table has a media column: the vectors of ``embeddings`` are painted as images
     found = image_copies(paint(C.documents(spark, sf_dir, "embeddings")))
-    return found.select(F.col("image_id").alias("vec_id"), "n_constellations", "class_id")
+    return found.select(F.col("image_id").alias("vec_id"), "n_corners", "class_id")
 
 
 #: Rows with this remainder are held out of training (op6, op10: crc32 modulo 4; op9: modulo 5).

@@ -153,6 +153,141 @@ def png(x):
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
 
 
+def scene(r, n=160):
+    """Rectangles and discs of any grey, softened, with a little noise."""
+    image = np.full((n, n), r.uniform(60, 190), np.float32)
+    yy, xx = np.ogrid[:n, :n]
+    for _ in range(60):
+        (x, y), (w, h) = r.integers(0, n, 2), r.integers(6, 50, 2)
+        image[y : y + h, x : x + w] = r.uniform(0, 255)
+    for _ in range(25):
+        x, y, radius = r.integers(0, n), r.integers(0, n), r.integers(4, 20)
+        image[(xx - x) ** 2 + (yy - y) ** 2 <= radius * radius] = r.uniform(0, 255)
+    return grey(media._box(image[None], 1)[0] + r.normal(0, 2, (n, n)))
+
+
+def grey(x):
+    return np.clip(np.rint(x), 0, 255).astype(np.uint8)
+
+
+def turned(image, angle, scale):
+    n, m, a = len(image), int(round(len(image) * scale)), np.deg2rad(angle)
+    yy, xx = (np.mgrid[:m, :m] - (m - 1) / 2) / scale
+    x, y = np.cos(a) * xx + np.sin(a) * yy + (n - 1) / 2, -np.sin(a) * xx + np.cos(a) * yy + (n - 1) / 2
+    x0, y0 = (np.clip(np.floor(c).astype(int), 0, n - 2) for c in (x, y))
+    fx, fy, image = np.clip(x - x0, 0, 1), np.clip(y - y0, 0, 1), image.astype(float)
+    out = (image[y0, x0] * (1 - fx) + image[y0, x0 + 1] * fx) * (1 - fy) + (image[y0 + 1, x0] * (1 - fx) + image[y0 + 1, x0 + 1] * fx) * fy
+    return grey(np.where((x < 0) | (y < 0) | (x > n - 1) | (y > n - 1), 0, out))
+
+
+EDITS = {
+    "crop to half the area": lambda i, r: i[20:132, 30:142],
+    "noise": lambda i, r: grey(i + r.normal(0, 8, i.shape)),
+    "contrast": lambda i, r: grey(i * 0.6 + 20),
+    "blur": lambda i, r: grey(media._box(i[None], 1)[0]),
+    "16 greys": lambda i, r: i // 16 * 16,
+    "half": lambda i, r: turned(i, 0, 0.5),
+    "scale 0.8": lambda i, r: turned(i, 0, 0.8),
+    "scale 1.25": lambda i, r: turned(i, 0, 1.25),
+    "90 degrees": lambda i, r: np.rot90(i),
+    "10 degrees": lambda i, r: turned(i, 10, 1),
+    "33 degrees": lambda i, r: turned(i, 33, 1),
+    "turned and scaled": lambda i, r: turned(i, 200, 0.9),
+}
+
+
+def image_classes(spark, images):
+    rows = [(k, pgm(x)) for k, x in enumerate(images)]
+    return {r.image_id: r.class_id for r in media.image_copies(spark.createDataFrame(rows, "image_id bigint, image binary").repartition(4)).collect()}
+
+
+def test_edited_images_are_copies_and_others_are_not(spark):
+    r = np.random.default_rng(7)
+    n = 6
+    originals = [scene(r) for _ in range(n)]
+    images = originals + [edit(i, r) for edit in EDITS.values() for i in originals]
+    got = image_classes(spark, images)
+    assert len({got[k] for k in range(n)}) == n  # unrelated
+    for e, name in enumerate(EDITS, 1):
+        assert sum(got[e * n + k] == got[k] for k in range(n)) >= 0.9 * n - 0.5, name
+    assert all(got[e * n + k] in (k, e * n + k) for e in range(1, len(EDITS) + 1) for k in range(n))
+
+
+def test_a_shared_patch_is_no_copy(spark):
+    r = np.random.default_rng(8)
+    patch, images = scene(r)[:44, :44], [scene(r) for _ in range(12)]
+    for image in images:
+        x, y = r.integers(0, 110, 2)
+        image[y : y + 44, x : x + 44] = patch
+    got = image_classes(spark, images)
+    assert sum(got[k] == k for k in got) == 12
+
+
+def test_links_by_brute_force():
+    """Consensus on all pairs of near corners, without tables and leaders, finds the same classes."""
+    r = np.random.default_rng(9)
+    images = [scene(r, 96) for _ in range(5)]
+    images += [grey(i + r.normal(0, 5, i.shape)) for i in images[:3]] + [images[0][10:80, 20:90]]
+    found = []
+    for x in images:
+        _, place, bits = media.describe(x[None].astype(np.float32))
+        found.append((place, np.ascontiguousarray(bits).view(np.uint64)))
+    links = []
+    for i, (p, c) in enumerate(found):
+        for j, (q, d) in enumerate(found[:i]):
+            a, b = np.nonzero(np.bitwise_count(c[:, None] ^ d[None]).sum(-1) <= media.RADIUS)
+            if len(a) and media.agree(p[a], q[b]):
+                links.append((j, i))
+    assert classes(len(images), links) == [0, 1, 2, 3, 4, 0, 1, 2, 0]
+
+
+def test_leaders_and_hot_corners(spark):
+    row, codes = np.array([5, 2, 9, 7]), np.zeros((4, 2), np.uint64)
+    codes[2, 0] = 2**40 - 1
+    assert media.leaders(row, codes).tolist() == [1, 1, 2, 1]
+    # a cell with many corners of one code: as many matches as corners, in cells that hold a block's pairs at most
+    points = spark.range(3000).selectExpr("1L as cell", "id as row", "id as place", "0L as a", "id % 50 as b")
+    from quire.llm import _common as C
+
+    cells = C.split_large_cells(points, ["a", "b"], 500)
+    assert cells.groupBy("cell").count().agg({"count": "max"}).first()[0] < 2500
+    twins = [pgm(np.tile(scene(np.random.default_rng(1), 64), (1, 1)))] * 40 + [b"P5\n64 64\n255\n" + bytes(4096)] * 30
+    got = media.image_copies(spark.createDataFrame([(k, x) for k, x in enumerate(twins)], "image_id bigint, image binary")).collect()
+    assert {r.image_id: r.class_id for r in got} == {k: 0 if k < 40 else 40 for k in range(70)}
+
+
+def test_places_are_packed_exactly():
+    x, y, level, turn = (np.array(v) for v in ([0, 8191, 17], [3, 8191, 0], [0, 63, 5], [63, 0, 7]))
+    assert media.unpack_place(media.pack_place(x, y, level, turn, 640, 8190)).tolist() == [[a, b, c, d, 640, 8190] for a, b, c, d in zip(x, y, level, turn, strict=True)]
+
+
+def chunk(kind, body):
+    return len(body).to_bytes(4, "big") + kind + body + zlib.crc32(kind + body).to_bytes(4, "big")
+
+
+def any_png(width, height, depth, colour, data, interlace=0, palette=None):
+    head = width.to_bytes(4, "big") + height.to_bytes(4, "big") + bytes([depth, colour, 0, 0, interlace])
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + (chunk(b"PLTE", palette) if palette else b"") + chunk(b"IDAT", zlib.compress(data)) + chunk(b"IEND", b"")
+
+
+def test_formats():
+    x = scene(np.random.default_rng(3), 40)
+    sixteen = b"P5 40 40 65535\n" + (x.astype(">u2") * 257).tobytes()
+    assert np.abs(media.decode(sixteen) - x).max() < 0.01
+    deep = b"".join(b"\0" + (line.astype(">u2") * 257).tobytes() for line in x)
+    assert (media.decode(any_png(40, 40, 16, 0, deep)) == x).all()
+    palette = bytes(v for k in range(16) for v in (17 * k,) * 3)
+    low = x // 17
+    packed = b"".join(b"\0" + ((line[::2] << 4) | line[1::2]).astype(np.uint8).tobytes() for line in low)
+    assert (media.decode(any_png(40, 40, 4, 3, packed, palette=palette)) == low * 17.0).all()
+    one = b"".join(b"\0" + np.packbits(line > 99).tobytes() for line in x)
+    assert (media.decode(any_png(40, 40, 1, 0, one)) == (x > 99) * 255.0).all()
+    woven = b"".join(b"\0" + line.tobytes() for x0, y0, dx, dy in media._PASSES for line in x[y0::dy, x0::dx])
+    assert (media.decode(any_png(40, 40, 8, 0, woven, interlace=1)) == x).all()
+    bomb = any_png(40000, 40000, 8, 0, bytes(10))
+    assert [media.decode(v) for v in (None, b"", b"\xff\xd8jpeg", sixteen[:50], bomb, any_png(40, 40, 8, 0, b"\0")) ] == [None] * 6
+
+
 def test_image_copies(spark):
     r = np.random.default_rng(3)
     soft = media._box(media._box(r.normal(size=(6, 96, 96)).astype(np.float32), 2), 2)
@@ -165,5 +300,5 @@ def test_image_copies(spark):
     assert len(got) == len(rows)
     assert {got[k].class_id for k in (9, 10, 11, 12, 13, None)} == {9}
     assert all(got[k].class_id == k for k in range(21, 26)) and got[30].class_id == 30 and got[31].class_id == 30 and got[33].class_id == 32
-    assert got[32].n_constellations == 0 and got[34].n_constellations == 0
+    assert got[32].n_corners == 0 and got[34].n_corners == 0
     assert media.image_copies(spark.createDataFrame([], "image_id bigint, image binary")).count() == 0

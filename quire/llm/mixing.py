@@ -2,9 +2,9 @@
 
 A source's target over its size is the rate at which each of its documents is wanted: its whole part is copies of every document, the rest a
 probability. Probabilities are made whole in pairs: mass (probability times words) goes from one document to its partner, in the
-direction that a coin with fair odds says, until one of the two is whole. The partner of a document is all the shorter ones of its group together:
-what they give or get changes their probabilities in proportion, so a document that is longer than many others together is made whole first, and what is left
-at last is the shortest. Expectations and the source's total of words are kept, so all that a source can miss of its target is the last residual.
+direction that a coin with fair odds says, until one of the two is whole. The partner of a document is all the shorter ones of its group together,
+each giving or getting its share, so a document that is longer than many others together is made whole first, and what is left
+at last is a short one. Expectations and the source's total of words are kept, so all that a source can miss of its target is the last residual.
 
 Documents are dealt by a hash into groups of bounded size within their source; each group leaves at most one residual, and residuals meet
 in a reduction tree of groups of FAN until each source has one, which its own coin rounds. A source with a third of all documents has more groups, not a
@@ -14,8 +14,6 @@ source: they don't depend on files, partitions or cores.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -87,43 +85,30 @@ def _unit(seed: int, level: int, row: np.ndarray) -> np.ndarray:
 def pivotal(p: list[float], mass: list[int], u: list[float]) -> int:
     """Round probabilities in place along the list; the index of the one left fractional, or -1.
 
-    In each step words go between a document and the rest of the list, its pool: all that can go one way with odds that keep the
-    expectations. A pool that gives has its probabilities scaled, one that gets has what they lack scaled, so all of it is one affine map.
+    In each step words go between a document and the rest of the list, its pool, whose members give or get in proportion to p (1 - p): as much as makes one
+    of them all whole, one way or the other, with odds that keep every expectation. So there are no more steps than probabilities.
     """
-    open_ones = [j for j in range(len(p)) if 0.0 < p[j] < 1.0]
-    rest = sum(mass[j] for j in open_ones)
-    held = math.fsum(mass[j] * p[j] for j in open_ones)  # of the given probabilities
-    scale, shift = 1.0, 0.0
-    for k, i in enumerate(open_ones):
-        a = mass[i]
-        rest, held = rest - a, held - a * p[i]
-        now = _snap(scale * p[i] + shift)
-        has = min(max(scale * held + shift * rest, 0.0), float(rest))  # words of the pool
-        up, down = min((1.0 - now) * a, has), min(now * a, rest - has)
-        if now in (0.0, 1.0):
-            p[i] = now
-            continue
-        if up <= 1e-9 or down <= 1e-9:  # the pool is whole, or there is none
-            p[i] = now
-            for j in open_ones[k + 1 :]:
-                p[j] = float(round(scale * p[j] + shift))
-            return i
-        if u[i] * (up + down) < down:
-            now, kept = _snap(now + up / a), 1.0 - up / has
-            scale, shift = scale * kept, shift * kept
-        else:
-            now, kept = _snap(now - down / a), 1.0 - down / (rest - has)
-            scale, shift = scale * kept, 1.0 - (1.0 - shift) * kept
-        p[i] = now
-        if now not in (0.0, 1.0):  # so the pool has become whole
-            for j in open_ones[k + 1 :]:
-                p[j] = float(round(scale * p[j] + shift))
-            return i
-    return -1
-
-
-def _snap(x: float) -> float:
-    return 0.0 if x < 1e-9 else 1.0 if x > 1.0 - 1e-9 else x
+    x = np.array(p, float)
+    at = np.flatnonzero((x > 0.0) & (x < 1.0))
+    now, words, step = x[at], np.array(mass, float)[at], 0
+    while len(now) > 1:
+        a, own, pool = words[0], now[0], now[1:]
+        shares = pool * (1.0 - pool)
+        all_of = float(words[1:] @ shares)
+        up = min((1.0 - own) * a, all_of / (1.0 - pool.min()))  # words that can go to it
+        down = min(own * a, all_of / pool.max())  # and from it
+        moved = up if u[step] * (up + down) < down else -down
+        step += 1
+        now = np.concatenate([[own + moved / a], pool - moved / all_of * shares])
+        edge = np.minimum(now, 1.0 - now)
+        done = edge < max(1e-9, float(edge.min()))
+        if not done.any():
+            done[edge.argmin()] = True
+        x[at[done]] = np.rint(now[done])
+        at, now, words = at[~done], now[~done], words[~done]
+    x[at] = now
+    p[:] = x.tolist()
+    return int(at[0]) if len(at) else -1
 
 
 ROUND_SCHEMA = "row bigint, key bigint, source string, size bigint, p double, n_groups bigint, done boolean"

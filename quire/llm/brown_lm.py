@@ -308,8 +308,9 @@ def best_classes(of: np.ndarray, side: np.ndarray, cls: np.ndarray, n: np.ndarra
     f, both = _xlogx(pairs), (pairs, np.ascontiguousarray(pairs.T))
     few = 8
     small = [np.stack([_xlogx(x + j) - _xlogx(x) for j in range(few + 1)]) for x in both]  # of counts up to few: looked up
-    for a in range(0, words, 2048):
-        b = min(a + 2048, words)
+    a = 0
+    while a < words:  # some 16384 entries at a time; a word has 256 at most
+        b = max(a + 1, int(np.searchsorted(starts, starts[a] + 16_384)))
         lo, hi = int(starts[a]), int(starts[b]) if b < words else len(of)
         s, c, m = side[lo:hi], cls[lo:hi], n[lo:hi]
         more = np.empty((hi - lo, k))
@@ -319,6 +320,7 @@ def best_classes(of: np.ndarray, side: np.ndarray, cls: np.ndarray, n: np.ndarra
             lots = np.flatnonzero((s == which) & (m > few))
             more[lots] = _xlogx(both[which][c[lots]] + m[lots, None]) - (f if which == 0 else f.T)[c[lots]]
         gain[a:b] = np.add.reduceat(more, starts[a:b] - lo, axis=0)
+        a = b
     for which, total in ((0, pairs.sum(axis=0)), (1, pairs.sum(axis=1))):
         seen = np.add.reduceat(np.where(side == which, n, 0), starts).astype(np.float64)
         gain -= _xlogx(total[None, :] + seen[:, None]) - _xlogx(total)[None, :]

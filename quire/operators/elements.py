@@ -8,8 +8,14 @@ from pyspark.sql import functions as F
 
 from quire.operators.labels import let
 
-#: Types of visual elements by the names that are given to them; fixed values.
-VISUAL_TYPES = {"stamp": "stamp", "seal": "stamp", "logo": "logo", "photo": "photo", "image": "photo", "figure": "figure", "chart": "figure", "diagram": "figure", "barcode": "barcode", "qr": "barcode"}
+#: Types of visual elements, and other names that are given to them; fixed values.
+VISUAL_TYPES = ["stamp", "logo", "figure", "barcode", "photo"]
+VISUAL_SYNONYMS = {"chart": "figure", "diagram": "figure", "plot": "figure", "graph": "figure", "illustration": "figure", "infographic": "figure", "image": "photo", "seal": "stamp"}
+
+
+def is_blank(text: Column) -> Column:
+    """Null, empty or white space only, of any alphabet."""
+    return text.isNull() | text.rlike(r"(?U)\A[\s\x1c-\x1f]*\z")
 
 
 def key_value_error(classes: Column, text: Column, labels: list[str]) -> Column:
@@ -23,15 +29,16 @@ def first_label(classes: Column, labels: list[str]) -> Column:
     return F.get(F.filter(F.split(F.coalesce(classes, F.lit("")), r"\s+"), lambda c: c.isin(labels)), F.lit(0))
 
 
-def visual_type(name: Column, types: dict[str, str] | None = None) -> Column:
-    """PRJ18: the type that a name stands for, null if unknown."""
-    pairs = [F.lit(x) for kv in (types or VISUAL_TYPES).items() for x in kv]
-    return F.create_map(*pairs)[F.lower(name)]
+def visual_type(name: Column, synonyms: dict[str, str] | None = None) -> Column:
+    """PRJ18: the type that a name stands for, null if unknown; letters count as they are."""
+    pairs = [F.lit(x) for kv in (VISUAL_SYNONYMS if synonyms is None else synonyms).items() for x in kv]
+    known = F.when(name.isin(VISUAL_TYPES), name)
+    return F.coalesce(known, F.create_map(*pairs)[name]) if pairs else known
 
 
 def visual_error(name: Column, width: Column, height: Column) -> Column:
-    """PRJ18: ``unknown-type``, overridden by ``invalid-size``."""
-    return F.when((width <= 0) | (height <= 0), "invalid-size").when(visual_type(name).isNull(), "unknown-type")
+    """PRJ18: ``unknown-type``, else ``invalid-size`` where a side is zero."""
+    return F.when(visual_type(name).isNull(), "unknown-type").when((width == 0) | (height == 0), "invalid-size")
 
 
 def author(classes: Column) -> Column:
@@ -44,27 +51,30 @@ def is_signature(classes: Column) -> Column:
 
 
 def handwriting_error(author_id: Column, text: Column, found: Column) -> Column:
-    """PRJ19: the first of no author, no text, not found."""
-    return F.when(author_id.isNull(), "no-authorid").when(F.coalesce(text, F.lit("")) == "", "no-text").when(~F.coalesce(found, F.lit(False)), "not-found")
+    """PRJ19: the first of no author, no text (white space only is none), not found."""
+    return F.when(author_id.isNull(), "no-authorid").when(is_blank(text), "no-text").when(~F.coalesce(found, F.lit(False)), "not-found")
+
 
+#: What ids of visual elements begin with; a fixed value.
+VISUAL_PREFIX = "&?ve"
 
-def placeholder(prefix: str, number: Column) -> Column:
+
+def placeholder(number: Column, prefix: str = VISUAL_PREFIX) -> Column:
     """PRJ21."""
     return F.concat(F.lit(prefix), number.cast("string"))
 
 
-def is_placeholder(value: Column, prefix: str) -> Column:
-    return value.rlike(f"^{prefix}[0-9]+$")
+def is_placeholder(value: Column, prefix: str = VISUAL_PREFIX) -> Column:
+    """PRJ21: begins with the prefix, and digits alone are left without it."""
+    return value.startswith(prefix) & F.replace(value, F.lit(prefix), F.lit("")).rlike(r"(?U)\A\d+\z")
 
 
 def ground_truth_items(raw: Column) -> Column:
-    """PRJ22: entries of a JSON object as (id, group, key, value, error); a blank value is ``missing-value``; the group is null unless the key has one."""
+    """PRJ22: entries of a JSON object as (id, group, key, value, error): the id is the key, there is no group, a blank value is ``missing-value``."""
     entries = F.map_entries(F.from_json(raw, "map<string,string>"))
 
-    def item(e: Column, i: Column) -> Column:
-        blank = F.trim(F.coalesce(e["value"], F.lit(""))) == ""
-        group = F.when(F.contains(e["key"], F.lit("_")), F.substring_index(e["key"], "_", -1))
-        return F.struct(i.cast("string").alias("id"), group.alias("group"), e["key"].alias("key"), e["value"].alias("value"), F.when(blank, "missing-value").alias("error"))
+    def item(e: Column) -> Column:
+        return F.struct(e["key"].alias("id"), F.lit(None).cast("string").alias("group"), e["key"].alias("key"), e["value"].alias("value"), F.when(is_blank(e["value"]), "missing-value").alias("error"))
 
     return F.transform(entries, item)
 
@@ -78,15 +88,20 @@ def flat_answers(raw: Column) -> Column:
 
 
 def word_pieces(words: DataFrame, longest: int) -> DataFrame:
-    """ARR1: words over ``longest`` letters cut into pieces with their share of the box; 0 and less leaves words whole."""
+    """ARR1: words over ``longest`` letters cut into pieces, each from the box of its first character to that of its last; 0 and less leaves words whole.
+
+    ``chars`` are the boxes (x0, y0, x2, y2) of a word's characters in order. A piece without characters has null sides.
+    """
     if longest <= 0:
         return words.withColumn("piece", F.lit(0))
     n = F.greatest(F.ceil(F.length("word") / longest), F.lit(1)).cast("int")
-    cut = words.select("*", F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct((i * longest).alias("at")))).alias("piece", "p"))
-    width = (F.col("x2") - F.col("x0")) / F.length("word")
+    cut = words.select("*", F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct((i * longest).alias("at"), n.alias("n")))).alias("piece", "p"))
     part = F.substring(F.col("word"), F.col("p.at") + 1, F.lit(longest))
-    x0 = F.col("x0") + F.col("p.at") * width
-    return cut.withColumns({"word": part, "x0": x0, "x2": F.least(F.col("x2"), x0 + F.length(part) * width)}).drop("p")
+    first = F.get(F.col("chars"), F.col("p.at"))
+    last = F.get(F.col("chars"), F.least(F.col("p.at") + F.lit(longest), F.size("chars")) - 1)
+    whole = F.col("p.n") == 1
+    sides = {c: F.when(whole, F.col(c)).otherwise(box[c]) for c, box in (("x0", first), ("y0", first), ("x2", last), ("y2", last))}
+    return cut.withColumns({"word": part, **sides}).drop("p")
 
 
 def in_order_matches(gold: Column, pred: Column) -> Column:
@@ -165,9 +180,14 @@ def baseline(ink: DataFrame, share: float) -> DataFrame:
     return low.groupBy("id").agg(F.percentile("y", F.lit(share)).cast("int").alias("baseline"))
 
 
-def ink_box(ink: DataFrame, pad: int = 0) -> DataFrame:
-    """GEO20: the box of ink pixels, ends excluded."""
-    return ink.groupBy("id").agg((F.min("x") - pad).alias("x0"), (F.min("y") - pad).alias("y0"), (F.max("x") + 1 + pad).alias("x2"), (F.max("y") + 1 + pad).alias("y2"))
+def ink_box(ink: DataFrame, images: DataFrame, pad: int = 0) -> DataFrame:
+    """GEO20: the box of the ink pixels (id, x, y) of images (id, width, height), grown within the image, ends excluded; (0, 0, 1, 1) without ink."""
+    found = ink.groupBy("id").agg(*(f(c).alias(f"{k}_{c}") for k, f in (("least", F.min), ("most", F.max)) for c in ("x", "y")))
+    least = lambda c: F.greatest(F.col(f"least_{c}") - pad, F.lit(0))
+    most = lambda c, side: F.least(F.col(f"most_{c}") + pad, F.col(side) - 1) + 1
+    sides = {"x0": (least("x"), 0), "y0": (least("y"), 0), "x2": (most("x", "width"), 1), "y2": (most("y", "height"), 1)}
+    empty = F.col("least_x").isNull()
+    return images.join(found, "id", "left").select("id", *(F.when(empty, F.lit(other)).otherwise(x).alias(c) for c, (x, other) in sides.items()))
 
 
 def line_width(parts: Column, gap_word: int, gap_part: int) -> Column:

@@ -74,11 +74,12 @@ def cost_roll_up(batches: DataFrame, n_valid: int, discount: float = 0.5) -> Dat
 
 
 def remaining_work(messages: DataFrame, target: int, solutions: int) -> DataFrame:
-    """AGG9: documents that succeeded and awaited messages give, and the messages still needed for the target."""
+    """AGG9: documents that are left to the target besides those of succeeded and awaited messages, below zero where there are more; the messages that
+    would give them, a fraction."""
     good, waiting = F.count_if(F.col("result_type") == "succeeded"), F.count_if(F.col("result_type").isNull())
     out = messages.agg(F.count("*").alias("messages"), good.alias("succeeded"), waiting.alias("awaited"))
-    left = F.greatest(F.lit(target) - (F.col("succeeded") + F.col("awaited")) * solutions, F.lit(0))
-    return out.withColumn("documents_left", left).withColumn("messages_left", F.ceil(F.col("documents_left") / solutions))
+    left = F.lit(target) - (F.col("succeeded") + F.col("awaited")) * solutions
+    return out.withColumn("documents_left", left).withColumn("messages_left", F.col("documents_left") / solutions)
 
 
 def refusals(expected: DataFrame, results: DataFrame) -> DataFrame:

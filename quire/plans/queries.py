@@ -83,18 +83,18 @@ def page_summary(spark, sf_dir):
     return df.groupBy(error.alias("error")).agg(F.count("*").alias("total"), F.sum("t").alias("n_chars"), F.min("page_id").alias("first_page"))
 
 
-_GEO = """'[{"id":"a","tag":"div","classes":"LE-TEXT x","rect":{"x":' || page_id % 90 || ',"y":2,"width":' || page_id % 5 || ',"height":4},"style":"width:' || page_id % 50 || 'mm;height:3.5cm;transform:rotate(-' || page_id % 30 || 'deg)","selectorTypes":["layout_element"]},{"id":"b","tag":"p","classes":"","rect":{"x":1,"y":2,"width":3,"height":4},"style":"width:10px","selectorTypes":["visual_element","layout_element"]}]'"""
+_GEO = """'[{"id":"a","tag":"div","classes":"LE-TEXT x","rect":{"x":' || page_id % 90 || ',"y":2,"width":' || page_id % 5 || ',"height":4},"style":"width:' || page_id % 50 || 'mm;height:3.5cm;transform:rotate(-' || page_id % 30 || 'deg)","selectorTypes":["layout_element"]},{"id":"b","tag":"p","classes":"","rect":{"x":1,"y":2,"width":3,"height":0},"style":"width:10px","selectorTypes":["visual_element","layout_element"]}]'"""
 
 
 @query(rf"""
     with g as (select page_id, unnest(from_json({_GEO}, '[{{"id":"VARCHAR","classes":"VARCHAR","rect":{{"x":"DOUBLE","y":"DOUBLE","width":"DOUBLE","height":"DOUBLE"}},"style":"VARCHAR","selectorTypes":["VARCHAR"]}}]')) as e from pages)
-    select page_id, e.id as elem, case when e.rect.width <= 0 or e.rect.height <= 0 then 'invalid-size' when coalesce(e.classes, '') = '' then 'no-class' end as error,
+    select page_id, e.id as elem, case when coalesce(e.classes, '') = '' then 'no-class' when e.rect.width = 0 or e.rect.height = 0 then 'invalid-size' end as error,
         case when e.id = 'a' then (page_id % 50)::INT end as width_mm, case when e.id = 'a' then 35 end::INT as height_mm, case when e.id = 'a' then -(page_id % 30)::DOUBLE + 0.0 end as rotation, e.rect.x + e.rect.width as x2 from g""")
 def geometry_elements(spark, sf_dir):
     """SRC9, PRJ16, STR10, STR11, GEO5: layout elements of geometry records with their errors and styles."""
     n = lambda k: (F.col("page_id") % k).cast("string")
     geo = F.concat(F.lit('[{"id":"a","tag":"div","classes":"LE-TEXT x","rect":{"x":'), n(90), F.lit(',"y":2,"width":'), n(5), F.lit(',"height":4},"style":"width:'), n(50), F.lit("mm;height:3.5cm;transform:rotate(-"), n(30),
-                   F.lit('deg)","selectorTypes":["layout_element"]},{"id":"b","tag":"p","classes":"","rect":{"x":1,"y":2,"width":3,"height":4},"style":"width:10px","selectorTypes":["visual_element","layout_element"]}]'))
+                   F.lit('deg)","selectorTypes":["layout_element"]},{"id":"b","tag":"p","classes":"","rect":{"x":1,"y":2,"width":3,"height":0},"style":"width:10px","selectorTypes":["visual_element","layout_element"]}]'))
     e = A.table(spark, sf_dir, "pages").select("page_id", F.explode(records.elements(geo, "layout_element")).alias("e"))
     return e.select("page_id", F.col("e.id").alias("elem"), boxes.is_visible_error(F.col("e.classes"), F.col("e.rect.width"), F.col("e.rect.height")).alias("error"), T.style_millimetres(F.col("e.style"), "width").alias("width_mm"),
                     T.style_millimetres(F.col("e.style"), "height").alias("height_mm"), (T.rotation_degrees(F.col("e.style")) + 0.0).alias("rotation"), G.rect_box(F.col("e.rect"))["x2"].alias("x2"))
@@ -168,10 +168,10 @@ def cost_rollup(spark, sf_dir):
 
 
 @query(f"""with {A.MESSAGES}, t as (select count(*) as messages, count(*) filter (result_type = 'succeeded') as succeeded, count(*) filter (result_type is null) as awaited from ms)
-    select *, greatest(100000 - (succeeded + awaited) * 3, 0)::BIGINT as documents_left, ceil(greatest(100000 - (succeeded + awaited) * 3, 0) / 3)::BIGINT as messages_left from t""")
+    select *, (1000 - (succeeded + awaited) * 3)::BIGINT as documents_left, round((1000 - (succeeded + awaited) * 3) / 3.0::DOUBLE, 6) as messages_left from t""")
 def remaining_work(spark, sf_dir):
     """AGG9."""
-    return summary.remaining_work(A.messages(spark, sf_dir), 100_000, 3)
+    return rounded(summary.remaining_work(A.messages(spark, sf_dir), 1000, 3), "messages_left")
 
 
 @query(f"""with {A.MESSAGES}, bad as (select message_id from ms where result_type is null or error = 'refusal'), s as (select vec_id as seed, row_number() over (order by vec_id) - 1 as i from embeddings where label = 0),
@@ -741,11 +741,13 @@ def entities_per_document(spark, sf_dir):
     return elements.entity_counts(w.withColumn("label", F.col("word"))).withColumnRenamed("label", "word").join(w.groupBy("doc_id", "word").agg(F.min("idx").alias("first")), ["doc_id", "word"])
 
 
-@query("with " + A.WORD_BOXES + """, c as (select *, greatest((length(word) + 5) // 6, 1) as n, (x2 - x0) / length(word) as u from wb), p as (select *, unnest(range(n)) as piece from c)
-    select doc_id, idx, piece::INT as piece, substr(word, piece * 6 + 1, 6) as word, round(x0 + piece * 6 * u, 6) as x0, round(least(x2, x0 + piece * 6 * u + length(substr(word, piece * 6 + 1, 6)) * u), 6) as x2 from p""")
+@query("with " + A.WORD_BOXES + """, c as (select *, greatest((length(word) + 5) // 6, 1) as n from wb), p as (select *, unnest(range(n)) as piece from c), e as (select *, piece * 6 as a, least(piece * 6 + 6, length(word)) - 1 as z from p)
+    select doc_id, idx, piece::INT as piece, substr(word, a + 1, 6) as word, case when n = 1 then x0 else x0 + 4 * a + a % 4 end as x0, case when n = 1 then y0 else y0 + a % 4 end as y0, case when n = 1 then x2 else x0 + 4 * z + 3 end as x2, case when n = 1 then y2 else y2 - z % 4 end as y2 from e""")
 def word_pieces(spark, sf_dir):
     """ARR1."""
-    return rounded(elements.word_pieces(A.word_boxes(spark, sf_dir), 6).select("doc_id", "idx", "piece", "word", "x0", "x2"), "x0", "x2")
+    char = lambda i: F.struct((F.col("x0") + 4 * i + i % 4).alias("x0"), (F.col("y0") + i % 4).alias("y0"), (F.col("x0") + 4 * i + 3).alias("x2"), (F.col("y2") - i % 4).alias("y2"))
+    w = A.word_boxes(spark, sf_dir).withColumn("chars", F.transform(F.sequence(F.lit(0), F.length("word") - 1), char))
+    return elements.word_pieces(w, 6).select("doc_id", "idx", "piece", "word", "x0", "y0", "x2", "y2")
 
 
 @query("""select round(avg(coalesce(case when n_chars > 0 then 1 + n_chars // 20000 end, 1)), 6) as mean_pages, bool_or(text is not null) as has_words, count(*) as n from documents""")
@@ -755,16 +757,16 @@ def dataset_info(spark, sf_dir):
     return rounded(elements.dataset_info(d), "mean_pages")
 
 
-@query("""select doc_id, case doc_id % 5 when 0 then 'stamp' when 1 then 'figure' when 2 then null when 3 then 'photo' else 'barcode' end as kind, case when doc_id % 3 = 0 then 'invalid-size' when doc_id % 5 = 2 then 'unknown-type' end as error,
+@query("""select doc_id, case doc_id % 5 when 0 then 'stamp' when 1 then null when 2 then 'figure' when 3 then 'photo' else 'barcode' end as kind, case when doc_id % 5 = 1 then 'unknown-type' when doc_id % 3 = 0 then 'invalid-size' end as error,
     case when doc_id % 4 = 0 then 'author' || doc_id % 7 end as author, case when doc_id % 4 <> 0 then 'no-authorid' when doc_id % 6 = 0 then 'no-text' when doc_id % 10 <> 0 then 'not-found' end as hw_error from documents""")
 def element_errors(spark, sf_dir):
     """PRJ18, PRJ19, PRJ20."""
     i = F.col("doc_id")
-    name = F.element_at(F.array(*[F.lit(x) for x in ("Seal", "chart", "hologram", "photo", "qr")]), (i % 5 + 1).cast("int"))
+    name = F.element_at(F.array(*[F.lit(x) for x in ("seal", "Chart", "infographic", "photo", "barcode")]), (i % 5 + 1).cast("int"))
     classes = F.when(i % 4 == 0, F.concat(F.lit("handwritten author"), (i % 7).cast("string"), F.lit(" signature"))).otherwise("handwritten")
     who = elements.author(classes)
     return A.table(spark, sf_dir, "documents").select("doc_id", elements.visual_type(name).alias("kind"), elements.visual_error(name, i % 3, F.lit(1)).alias("error"), who.alias("author"),
-                                                       elements.handwriting_error(who, F.when(i % 6 != 0, "x"), i % 10 == 0).alias("hw_error"))
+                                                       elements.handwriting_error(who, F.when(i % 6 != 0, "x").when(i % 12 == 0, " \t\n"), i % 10 == 0).alias("hw_error"))
 
 
 # --- expressions ---
@@ -799,8 +801,8 @@ def ocr_geometry(spark, sf_dir):
     return g.select("doc_id", "idx", F.col("g")[0].alias("x"), F.col("g")[1].alias("y"), F.col("g")[2].alias("width"), F.col("g")[3].alias("height"), (F.col("g")[0] + F.col("g")[2]).alias("right_edge"))
 
 
-@query("""with j as (select conv_id, turn, {'total_1': role, 'b': case when turn % 2 = 0 then ' ' else 'x' end, 'n': null} as o from conversations), e as (select conv_id, turn, unnest([0, 1]) as id, unnest(['total_1', 'b']) as key, unnest([o.total_1, o.b]) as value from j)
-    select conv_id, turn, id::VARCHAR as id, case when contains(key, '_') then '1' end as "group", key, value, case when trim(value) = '' then 'missing-value' end as error from e""")
+@query("""with j as (select conv_id, turn, {'total_1': role, 'b': case when turn % 2 = 0 then ' ' else 'x' end, 'n': null} as o from conversations), e as (select conv_id, turn, unnest(['total_1', 'b']) as key, unnest([o.total_1, o.b]) as value from j)
+    select conv_id, turn, key as id, null::VARCHAR as "group", key, value, case when trim(value) = '' then 'missing-value' end as error from e""")
 def ground_truth_items(spark, sf_dir):
     """PRJ22."""
     c = A.table(spark, sf_dir, "conversations")
@@ -817,12 +819,12 @@ def flat_answers(spark, sf_dir):
 
 
 @query("""select vec_id, round((vec_id % 500) * 72.0 / 96, 6) as points, round((vec_id % 500) * (72 / 25.4), 6) as mm_points, round((vec_id % 500) * (200 / 72), 6) as pixels,
-    (((vec_id % 500) + 1) * least(100.0 / ((vec_id % 500) + 1), 80.0 / ((vec_id % 300) + 1)))::DOUBLE as w0, round(greatest(case when vec_id < 100 then 0.5 * vec_id / 100 else 0.5 * (1000 - vec_id) / 900 end, 0), 6) as rate from embeddings""")
+    (((vec_id % 500) + 1) * least(100.0 / ((vec_id % 500) + 1), 80.0 / ((vec_id % 300) + 1)))::DOUBLE as w0, round(case when vec_id < 100 then 0.5 * vec_id / 100 else greatest(0.5 - 0.45 * (vec_id - 100) / 900, 0.05) end, 6)::DOUBLE as rate from embeddings""")
 def unit_conversions(spark, sf_dir):
     """GEO10, GEO14 (before truncation), GEO17."""
     v = F.col("vec_id") % 500
     scale = F.least(F.lit(100.0) / (v + 1), F.lit(80.0) / (F.col("vec_id") % 300 + 1))
-    df = A.table(spark, sf_dir, "embeddings").select("vec_id", G.pixels_to_points(v).alias("points"), G.millimetres_to_points(v).alias("mm_points"), G.points_to_pixels(v).alias("pixels"), ((v + 1) * scale).alias("w0"), G.learning_rate(F.col("vec_id"), 1000, 0.1, 0.5).alias("rate"))
+    df = A.table(spark, sf_dir, "embeddings").select("vec_id", G.pixels_to_points(v).alias("points"), G.millimetres_to_points(v).alias("mm_points"), G.points_to_pixels(v).alias("pixels"), ((v + 1) * scale).alias("w0"), G.learning_rate(F.col("vec_id"), 1000, 0.1, 0.5, 0.05).alias("rate"))
     return rounded(df, "points", "mm_points", "pixels", "rate")
 
 
@@ -834,10 +836,12 @@ def otsu_threshold(spark, sf_dir):
     return stats.otsu(h).filter("threshold is not null")
 
 
-@query("with " + A.WORD_BOXES + """ select doc_id as id, min(x0) - 2 as x0, min(y0) - 2 as y0, max(x0) + 3 as x2, max(y0) + 3 as y2 from wb group by 1""")
+@query("with " + A.WORD_BOXES + """, i as (select doc_id as id, min(x0) as l, min(y0) as t, max(x0) as r, max(y0) as b from wb group by 1) select d.doc_id as id, case when l is null then 0 else greatest(l - 2, 0) end as x0, case when l is null then 0 else greatest(t - 2, 0) end as y0,
+    case when l is null then 1 else least(r + 2, 551) + 1 end as x2, case when l is null then 1 else least(b + 2, 999) + 1 end as y2 from documents d left join i on d.doc_id = i.id""")
 def ink_boxes(spark, sf_dir):
     """GEO20 on corners of words."""
-    return elements.ink_box(A.word_boxes(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("x0").alias("x"), F.col("y0").alias("y")), 2)
+    images = A.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit(552).alias("width"), F.lit(1000).alias("height"))
+    return elements.ink_box(A.word_boxes(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("x0").alias("x"), F.col("y0").alias("y")), images, 2)
 
 
 @query("with " + A.WORD_BOXES + """, l as (select doc_id, x0, max(y0) as y from wb group by 1, 2) select doc_id as id, floor(quantile_cont(y, 0.3))::INT as baseline from l group by 1""")
@@ -883,9 +887,15 @@ def seeds_wide(spark, sf_dir):
 @query("select event_type, count(*) as n from events group by 1")
 def stream_resume(spark, sf_dir):
     """STM1, STM3: events ingested by a stream that takes what is there and stops; a second call adds nothing."""
+    import tempfile
     import uuid
 
-    base = (spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/quire-{spark.sparkContext.applicationId}").rstrip("/") + f"/stream-{uuid.uuid4().hex[:12]}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:  # a local session alone may do without a shared folder
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="quire-")
+    base = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
     events = A.table(spark, sf_dir, "events").select("event_id", "event_type")
     events.write.parquet(f"{base}/source")
     for _ in range(2):

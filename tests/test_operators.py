@@ -103,7 +103,8 @@ def test_geometry(spark):
     assert value(spark, G.is_detectable(lit_box(-5, 0, 50, 90), F.lit(20.0), F.lit(30.0)))
     assert round(value(spark, G.message_cost(F.lit(10000), F.lit(2000), F.lit(3000), F.lit(4000), (3.0, 15.0, 3.75, 0.3))), 6) == 0.0834
     assert tuple(value(spark, G.fitted_size(F.lit(400), F.lit(200), 100, 100))) == (100, 50)
-    assert value(spark, G.learning_rate(F.lit(5), 100, 0.1, 1.0)) == 0.5
+    rates = [value(spark, G.learning_rate(F.lit(k), 100, 0.1, 1.0, 0.1)) for k in (0, 5, 10, 55, 100, 200)]
+    assert [round(x, 9) for x in rates] == [0.0, 0.5, 1.0, 0.55, 0.1, 0.1]
 
 
 def test_run_features(spark):
@@ -257,11 +258,18 @@ def test_ingest(spark, tmp_path):
 def test_elements(spark):
     from quire.operators import elements as E
 
-    assert value(spark, E.visual_type(F.lit("seal"))) == "stamp" and value(spark, E.visual_error(F.lit("hologram"), F.lit(1), F.lit(1))) == "unknown-type"
+    assert value(spark, E.visual_type(F.lit("seal"))) == "stamp" and value(spark, E.visual_error(F.lit("hologram"), F.lit(0), F.lit(1))) == "unknown-type"
+    assert [value(spark, E.visual_type(F.lit(x))) for x in ("Seal", "plot", "qr", "logo")] == [None, "figure", None, "logo"]
+    assert value(spark, E.visual_error(F.lit("logo"), F.lit(0), F.lit(1))) == "invalid-size" and value(spark, E.visual_error(F.lit("logo"), F.lit(-1), F.lit(1))) is None
+    assert [value(spark, E.is_placeholder(F.lit(x))) for x in ("&?ve12", "ve1", "&?ve", "&?vex", "x&?ve1")] == [True, False, False, False, False]
+    assert [value(spark, E.handwriting_error(F.lit("a"), F.lit(x), F.lit(True))) for x in (" \t\n", "\u2003", "x")] == ["no-text", "no-text", None]
+    word = spark.createDataFrame([("abcdefgh", 0.0, 0.0, 80.0, 9.0, [(10.0 * k, float(k), 10.0 * k + 5, 9.0 - k) for k in range(8)])], "word string, x0 double, y0 double, x2 double, y2 double, chars array<struct<x0:double,y0:double,x2:double,y2:double>>")
+    assert [tuple(r) for r in E.word_pieces(word, 5).orderBy("piece").select("word", "x0", "y0", "x2", "y2").collect()] == [("abcde", 0.0, 0.0, 45.0, 5.0), ("fgh", 50.0, 5.0, 75.0, 2.0)]
+    assert [tuple(r) for r in E.word_pieces(word, 9).select("word", "x2").collect()] == [("abcdefgh", 80.0)]
     assert value(spark, E.author(F.lit("handwritten author2 signature"))) == "author2" and value(spark, E.is_signature(F.lit("a signature")))
     assert value(spark, E.key_value_error(F.lit("a b"), F.lit("x"), ["a", "b"])) == "multiple-labels" and value(spark, E.first_label(F.lit("x b"), ["a", "b"])) == "b"
     items = value(spark, E.ground_truth_items(F.lit('{"total_1": "5", "b": " "}')))
-    assert [(i.key, i.group, i.error) for i in items] == [("total_1", "1", None), ("b", None, "missing-value")]
+    assert [(i.key, i.group, i.error) for i in items] == [("total_1", None, None), ("b", None, "missing-value")] and [i.id for i in items] == ["total_1", "b"]
     flat = value(spark, E.flat_answers(F.lit('{"a": "1", "b": {"c": "2"}}')))
     assert [tuple(x) for x in flat] == [("a", "1"), ("b<<%?c", "2")]
     arr = lambda *w: F.array(*[F.lit(x) for x in w])
@@ -271,7 +279,9 @@ def test_elements(spark):
     assert value(spark, E.line_width(F.array(*[F.struct(F.lit(w).alias("width"), F.lit(s).alias("space_before")) for w, s in ((5, False), (7, True), (3, False))]), 10, 2)) == 27
     assert tuple(value(spark, E.grid_place(F.lit(7), 3))) == (2, 1)
     ink = spark.createDataFrame([(1, 0, 3), (1, 0, 5), (1, 1, 7)], "id int, x int, y int")
-    assert E.baseline(ink, 0.5).first().baseline == 6 and tuple(E.ink_box(ink).first())[1:] == (0, 3, 2, 8)
+    assert E.baseline(ink, 0.5).first().baseline == 6
+    for p, box in ((0, (0, 3, 2, 8)), (2, (0, 1, 4, 8))):
+        assert [tuple(r) for r in E.ink_box(ink, spark.createDataFrame([(1, 9, 8), (2, 5, 5)], "id int, width int, height int"), p).orderBy("id").collect()] == [(1, *box), (2, 0, 0, 1, 1)]
     entry = lambda a, *ix: F.struct(F.lit(a).alias("answer"), F.array(*[F.lit(i) for i in ix]).cast("array<int>").alias("indices"))
     assert [tuple(x) for x in value(spark, E.confirmed(F.array(entry("x"), entry("y", 3, 4))))] == [(1, "y", 3, 4)]
 

@@ -89,7 +89,7 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The documents without exact copies, all their columns unchanged; of equal texts the largest id stays.
 
     Only ids and digests of the copies to drop are joined to the texts. Rows are told apart by id and digest; of rows that repeat
-    both, one stays.
+    both, the first by its other columns stays. Null texts are equal to empty ones; rows without an id lose against any other. An empty table gives no rows.
     """
     settled = exact_dedup(C.materialize(digests(docs, id_col, text_col), "digests"), k)
     digest, drop_id, drop_digest, nth = (C.fresh(docs, c) for c in ("q_digest", "q_drop_id", "q_drop_digest", "q_nth"))
@@ -102,5 +102,5 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if repeated.isEmpty():
         return left.drop(digest)
     again = repeated.select(F.col("doc_id").alias(drop_id), F.col("digest").alias(drop_digest))
-    once = left.join(again, match, "left_semi").withColumn(nth, F.row_number().over(Window.partitionBy(id_col, digest).orderBy(F.lit(1)))).filter(F.col(nth) == 1).drop(nth)
+    once = left.join(again, match, "left_semi").withColumn(nth, F.row_number().over(Window.partitionBy(id_col, digest).orderBy(*C.by_content(docs)))).filter(F.col(nth) == 1).drop(nth)
     return left.join(again, match, "left_anti").unionByName(once).drop(digest)

@@ -209,6 +209,6 @@ def keep_least(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) ->
     keep = found.filter("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
     kept = docs.join(keep.hint("merge"), F.col(id_col) == F.col(key), "left_semi")
     if not found.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").isEmpty():
-        same = Window.partitionBy(id_col, F.xxhash64(C.text_of(text_col))).orderBy(F.lit(1))
+        same = Window.partitionBy(id_col, F.xxhash64(C.text_of(text_col))).orderBy(*C.by_content(docs))
         kept = kept.withColumn(nth, F.row_number().over(same)).filter(F.col(nth) == 1).drop(nth)
     return kept if found.filter("doc_id is null").isEmpty() else kept.unionByName(docs.filter(F.col(id_col).isNull()))

@@ -165,3 +165,23 @@ def dumped_positions(dump: Column, return_code: Column) -> Column:
     place = lambda p: F.struct(p["index"].alias("index"), p["text"].alias("text"), *[(p[k] / 96 * 72).alias(f"{k}_points") for k in names], *[p[k].alias(f"{k}_pixels") for k in names])
     parsed = F.coalesce(F.from_json(F.when(return_code == 0, data), kind), F.create_map().cast(kind))
     return F.transform_values(parsed, lambda _, v: F.transform(v, place))
+
+
+#: Names that encoders have in reports; fixed values.
+DISPLAY_NAMES = {"layout": "layoutlm", "image": "clip", "text": "sentence", "paper_kernel=4": "pooled", "combined": "combined"}
+
+
+def display_name(name: Column) -> Column:
+    """STR27: the name of an embedding in reports, null if unknown."""
+    return F.create_map(*[F.lit(x) for pair in DISPLAY_NAMES.items() for x in pair])[name]
+
+
+def word_image_name(owner: Column, block_no: Column, line_no: Column, word_no: Column) -> Column:
+    """STR18: the file name of a word's image; X stands for a block or line that isn't known."""
+    part = lambda letter, n: F.concat(F.lit(letter), F.coalesce(n.cast("string"), F.lit("X")))
+    return F.concat(F.concat_ws("_", owner, part("b", block_no), part("l", line_no), part("w", word_no)), F.lit(".png"))
+
+
+def as_words(text: Column) -> Column:
+    """STR29: the words of a text between white space; none of an empty one, null of null."""
+    return F.filter(F.split(text, r"\s+"), lambda w: w != "")

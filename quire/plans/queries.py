@@ -950,3 +950,24 @@ def event_windows(spark, sf_dir):
     """Tumbling windows over events (an extension)."""
     e = A.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return incremental.windowed_counts(e).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("with " + A.WORD_BOXES + """ select doc_id, idx, 'hw' || doc_id % 7 || '_b' || coalesce(case when idx % 3 > 0 then block_no end::VARCHAR, 'X') || '_l' || coalesce(case when idx % 4 > 0 then line_no end::VARCHAR, 'X') || '_w' || word_no || '.png' as file,
+    case idx % 6 when 0 then 'layoutlm' when 1 then 'clip' when 2 then 'sentence' when 3 then 'pooled' when 4 then 'combined' end as encoder, case when idx % 2 = 0 then 0 else 2 end::INT as n_words from wb""")
+def word_names(spark, sf_dir):
+    """STR18, STR27, STR29."""
+    w, i = A.word_boxes(spark, sf_dir), F.col("idx")
+    name = F.element_at(F.array(*[F.lit(x) for x in ("layout", "image", "text", "paper_kernel=4", "combined", "other")]), (i % 6 + 1).cast("int"))
+    file = T.word_image_name(F.concat(F.lit("hw"), (F.col("doc_id") % 7).cast("string")), F.when(i % 3 > 0, F.col("block_no")), F.when(i % 4 > 0, F.col("line_no")), F.col("word_no"))
+    text = F.when(i % 2 == 0, F.lit(" ")).otherwise(F.concat(F.lit(" "), F.col("word"), F.lit("\t x ")))
+    return w.select("doc_id", "idx", file.alias("file"), T.display_name(name).alias("encoder"), F.size(T.as_words(text)).alias("n_words"))
+
+
+@query("with " + A.WORD_BOXES + """ select doc_id, idx, round(x0 / 612, 6) as x0, round(y0 / 792, 6) as y0, round((x0 + 30) / 612, 6) as x2, round((y0 + 10) / 792, 6) as y2, case when doc_id % 2 = 0 then 1700 else 612 end::INT as width from wb""")
+def page_shares(spark, sf_dir):
+    """GEO7, GEO11, GEO13."""
+    w = A.word_boxes(spark, sf_dir)
+    b = G.position_box(F.struct(F.col("x0").alias("x_points"), F.col("y0").alias("y_points"), F.lit(30.0).alias("width_points"), F.lit(10.0).alias("height_points")))
+    size = G.size_for_boxes(F.when(F.col("doc_id") % 2 == 0, True), F.lit(1700), F.lit(612))
+    out = w.select("doc_id", "idx", G.page_share(b, F.lit(612.0), F.lit(792.0)).alias("b"), size.alias("width"))
+    return rounded(out.select("doc_id", "idx", "b.x0", "b.y0", "b.x2", "b.y2", "width"), "x0", "y0", "x2", "y2")

@@ -189,7 +189,8 @@ def test_toxicity(spark, docs, empty):
     assert all((r.score >= 0.3) == bool(r.toxic) for r in got)
     assert len(w) < 5000
     assert toxicity.score(docs, w).filter("score is null or score < 0 or score > 1").count() == 0
-    assert toxicity.train(empty.drop("lang"), labels) == [] or toxicity.score(empty, []).count() == 0
+    assert toxicity.train(empty.drop("lang"), labels) == [] and toxicity.score(empty, []).count() == 0
+    assert {r.score for r in toxicity.score(docs, []).collect()} == {0.5}
 
 
 def fit(docs, held=None):

@@ -2,36 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import geometry as G
 from quire.functions import text as T
 from quire.operators import boxes, elements, labels, metrics, sampling, stats, summary, vectors, verify
 from quire.plans import adapters as A
+from quire.plans import stage_queries  # noqa: F401  registers its own
+from quire.plans.registry import ORACLES, QUERIES, query, rounded  # noqa: F401  read from here
 from quire.sources import records, sinks
 from quire.streaming import incremental
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(fn):
-        QUERIES[fn.__name__] = fn
-        if sql:
-            ORACLES[fn.__name__] = sql
-        return fn
-
-    return register
-
-
-def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
-    """Doubles as they are compared: rounded, and never negative zero."""
-    return df.withColumns({c: F.round(F.col(c), digits) + F.lit(0.0) for c in columns})
-
 
 # --- HTML and JSON -------------------------------------------------------------------------------------------------------
 

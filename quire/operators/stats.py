@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.operators.order import running_sum
+
 
 def joined_counts(real: DataFrame, synthetic: DataFrame, key: str) -> DataFrame:
     """JOIN14: key, r, s: counts of classes on both sides, 0 where absent."""
@@ -57,12 +59,12 @@ def histogram(df: DataFrame, key: str) -> DataFrame:
 def empirical_distribution(df: DataFrame, value: str) -> DataFrame:
     """STAT7: value and the share of rows up to it, one row a distinct value (of equal values the last, as i / n of sorted values).
 
-    Counts are by value before any order is taken, so the ordered window sees values, not rows.
+    Counts are by value before any order is taken, and the order is taken by ranges of values, side by side.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    running = F.sum("n").over(Window.orderBy(value))
-    return counts.select(value, "n", running.alias("upto")).join(F.broadcast(total)).select(value, "n", (F.col("upto") / F.col("total")).alias("share"))
+    there = df.filter(F.col(value).isNotNull())
+    counts = there.groupBy(value).agg(F.count("*").alias("n"))
+    total = there.agg(F.count("*").alias("total"))
+    return running_sum(counts, F.col(value), F.col("n"), "upto", there).join(F.broadcast(total)).select(value, "n", (F.col("upto") / F.col("total")).alias("share"))
 
 
 def min_max(column: str, *by: str, flip: bool = False) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import geometry as G
 from quire.functions import text as T
-from quire.operators import boxes, elements, labels, metrics, sampling, stats, summary, vectors, verify
+from quire.operators import boxes, elements, labels, metrics, order, sampling, stats, summary, vectors, verify
 from quire.plans import adapters as A
 from quire.plans import stage_queries  # noqa: F401  registers its own
 from quire.plans.registry import ORACLES, QUERIES, query, rounded  # noqa: F401  read from here
@@ -162,9 +162,8 @@ def refusal_seeds(spark, sf_dir):
     """JOIN8, JOIN10, AGG23: seeds of messages without an answer; the three most frequent (a report)."""
     ms = A.messages(spark, sf_dir)
     bad = summary.refusals(ms, ms.filter("result_type is not null"))
-    from pyspark.sql import Window
-
-    seeds = A.table(spark, sf_dir, "embeddings").filter("label = 0").select(F.col("vec_id").alias("seed"), (F.row_number().over(Window.orderBy("vec_id")) - 1).alias("seed_idx"))
+    seeds = A.table(spark, sf_dir, "embeddings").filter("label = 0").select(F.col("vec_id").alias("seed"))
+    seeds = order.numbered(seeds, F.col("seed"), "nth").select("seed", (F.col("nth") - 1).alias("seed_idx"))
     j = summary.cyclic_seeds(bad.withColumn("message_idx", F.col("message_id")), seeds, seeds.count())
     return j.groupBy("seed").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "seed").limit(3)
 
@@ -849,11 +848,9 @@ def latest_checkpoint(spark, sf_dir):
 @query("""with a as (select vec_id, row_number() over (order by vec_id) as pos from embeddings), b as (select vec_id, row_number() over (order by case when vec_id < 10 then -vec_id else vec_id end) as pos from embeddings) select count(*) filter (a.vec_id is distinct from b.vec_id) as differences from a full join b on a.pos = b.pos""")
 def id_alignment(spark, sf_dir):
     """JOIN12: lists of ids that should be in the same order."""
-    from pyspark.sql import Window
-
     e = A.table(spark, sf_dir, "embeddings").select("vec_id")
-    a = e.withColumn("pos", F.row_number().over(Window.orderBy("vec_id")))
-    b = e.withColumn("pos", F.row_number().over(Window.orderBy(F.when(F.col("vec_id") < 10, -F.col("vec_id")).otherwise(F.col("vec_id")))))
+    a = order.numbered(e, F.col("vec_id"), "pos")
+    b = order.numbered(e, F.when(F.col("vec_id") < 10, -F.col("vec_id")).otherwise(F.col("vec_id")), "pos")
     return elements.same_ids(a, b, "vec_id")
 
 

@@ -333,3 +333,16 @@ def test_position_script(spark):
     got = value(spark, T.dumped_positions(F.lit(dump), F.lit(0)))
     assert tuple(got["a"][0]) == (0, "t", 72, 36, 3, 6, 96, 48, 4, 8) and got["b"] == []
     assert value(spark, T.dumped_positions(F.lit(dump), F.lit(1))) == {} and value(spark, T.dumped_positions(F.lit("<p>"), F.lit(0))) == {}
+
+
+def test_boxes_in_rects_of_any_height(spark):
+    import random
+
+    draw = random.Random(5)
+    words = [(d, i, float(x), float(y), x + 20.0, y + 10.0) for d in range(3) for i in range(60) for x, y in [(draw.randrange(400), draw.randrange(-200, 900))]]
+    rects = [(d, k, (float(draw.randrange(300)), float(draw.randrange(-100, 800)), 120.0, float(h))) for d in range(4) for k, h in enumerate([0, 1, 59, 60, 61, 700, 5000, -40, -300])]
+    inside = lambda w, r: w[2] >= r[0] - 25 and w[3] >= r[1] - 25 and w[4] <= r[0] + r[2] + 25 and w[5] <= r[1] + r[3] + 25
+    expected = {(d, k): [w[1] for w in words if w[0] == d and inside(w, r)] for d, k, r in rects}
+    df = spark.createDataFrame(rects, "doc_id int, rect_id int, rect struct<x:double,y:double,width:double,height:double>")
+    got = boxes.boxes_in_rect(spark.createDataFrame(words, "doc_id int, idx int, x0 double, y0 double, x2 double, y2 double"), df).collect()
+    assert {(r.doc_id, r.rect_id): r.indices for r in got} == {k: v for k, v in expected.items() if v}

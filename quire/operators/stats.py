@@ -91,11 +91,17 @@ def rank_points(metrics: DataFrame, by: str, config: str, value: str, n: int) ->
 
 
 def otsu(histogram_of: DataFrame) -> DataFrame:
-    """GEO18: id, threshold of each histogram (id, bin, n): the first bin of largest between-class variance."""
+    """GEO18: id, threshold of each histogram (id, bin, n): the first bin of largest between-class variance.
+
+    Variances are compared to six digits, halves away from zero: mirrored histograms have equal ones that differ in the last bits of a double.
+    """
     w = Window.partitionBy("id").orderBy("bin")
     everything = Window.partitionBy("id")
     df = histogram_of.select("id", "bin", F.sum("n").over(w).alias("w0"), F.sum(F.col("n") * F.col("bin")).over(w).alias("s0"), F.sum("n").over(everything).alias("t"), F.sum(F.col("n") * F.col("bin")).over(everything).alias("s"))
     w1 = F.col("t") - F.col("w0")
     mean = F.col("s0") / F.col("w0") - (F.col("s") - F.col("s0")) / w1
     df = df.withColumn("v", F.when((F.col("w0") > 0) & (w1 > 0), F.col("w0") * w1 * mean * mean))
+    digits = F.col("v") * 1e6
+    whole = F.rint(digits) - F.when(F.rint(digits) > digits, 1.0).otherwise(0.0)  # F.floor has the bounds of a bigint
+    df = df.withColumn("v", (whole + F.when(digits - whole >= 0.5, 1.0).otherwise(0.0)) / 1e6)
     return df.groupBy("id").agg(F.max_by("bin", F.when(F.col("v").isNotNull(), F.struct("v", -F.col("bin")))).alias("threshold"))

@@ -162,6 +162,8 @@ def test_statistics(spark):
     assert sorted((r.v, round(r.share, 4)) for r in d) == [(1, 0.6667), (2, 1.0)]
     h = spark.createDataFrame([(1, b, n) for b, n in ((0, 50), (1, 0), (200, 30), (255, 20))], "id int, bin int, n int")
     assert stats.otsu(h).first().threshold == 0
+    tied = spark.createDataFrame([(1, b, n) for b, n in ((2, 1), (4, 2), (5, 2), (6, 2), (8, 1))], "id int, bin int, n int")
+    assert stats.otsu(tied).first().threshold == 4  # as great at 5, but for the last bits of a double
 
 
 def test_vectors(spark):

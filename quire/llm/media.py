@@ -6,8 +6,10 @@ a cell that differ in RADIUS bits at most are matched. Matches are collected by
 similarity transform (turn, scale, shift): AGREE corners at least must lie where it puts them, spread over SPREAD of the smaller image. A patch that
 two images share is therefore not enough.
 
-In a cell a corner is matched to the first by row that it is near, not to every other, and corners with equal bits are one point of the tables; so a
-frequent pattern gives as many matches as it has corners, not their square. Every image of a class of copies is matched to the first of them.
+Copies are found twice. First, in LEAD_TABLES of the tables, a corner is matched to the first by row that it is near, so a class of n copies gives some n
+matches and not their square; this finds the bulk of the large classes. Then, in all tables, every pair of corners of a cell is held against RADIUS
+unless their images are in one class already: so no pair of images is left out because its corners are nearer to those of a third one. Pairs of corners
+that share several cells are matched in the first of their tables.
 """
 
 from __future__ import annotations
@@ -29,11 +31,15 @@ STEP, PATCH, SPAN, BITS, TURNS = 1.2, 11, 5, 128, 64
 RELATIVE, FLOOR, APART = 0.01, 1e3, 3
 #: Tables, bits of a key, bits of 128 that may differ in a match.
 TABLES, KEY_BITS, RADIUS = 8, 22, 18
+#: Tables of the first search, which only spares the second one the pairs of large classes.
+LEAD_TABLES = 2
 #: Corners that must agree, part of the smaller image's area that they must span, pixels at a corner's scale that they may be off.
 AGREE, SPREAD, OFF = 6, 0.25, 2.5
 #: Sides of an image, at most: larger ones are halved until they fit. Bytes of pixels that are decoded, at most.
 MOST_SIDE, MOST_BYTES = 8191, 1 << 28
 CELL_BLOCK = 4096
+#: Pairs of corners that are compared at a time; matches that are dealt out at a time, and parts that they are dealt to, at least.
+PAIRS_AT_ONCE, MATCHES_AT_ONCE, BUCKETS = 1 << 19, 1 << 20, 32
 
 
 def decode(raw: bytes | None) -> np.ndarray | None:
@@ -189,6 +195,7 @@ _TESTS = _tests()
 _DISC = np.array([(x, y) for y in range(-PATCH, PATCH + 1) for x in range(-PATCH, PATCH + 1) if x * x + y * y <= PATCH * PATCH])
 #: The bits that key each table.
 _KEYS = [np.sort(np.random.default_rng(30 + k).choice(BITS, KEY_BITS, replace=False)) for k in range(TABLES)]
+_KEY_MASKS = np.packbits(np.array([np.isin(np.arange(BITS), chosen) for chosen in _KEYS]), axis=1).view(np.uint64)
 
 
 def corners(stack: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -254,8 +261,8 @@ def describe(stack: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def agree(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether matched corners (packed places) of two images lie as one similarity transform puts them.
 
-    Each match with some others in turn gives a transform that must fit their turns and scales; it holds for the matches that it puts within
-    OFF pixels at their scale. Distinct corners of either image count.
+    Each match with some others in turn gives a transform; it holds for the matches that it puts within OFF pixels at their scale and whose own
+    turns and scales it fits. Distinct corners of either image count.
     """
     a, b = np.unique(np.stack([a, b], 1), axis=0).T
     if len(a) < AGREE:
@@ -278,7 +285,7 @@ def agree(a: np.ndarray, b: np.ndarray) -> bool:
     fits = (size > 0) & (np.abs(np.log(np.maximum(size, 1e-9) / ratio[i])) < 0.35) & ((factor / np.maximum(size, 1e-9) * np.conj(turned[i])).real > 0.85)
     for k in np.flatnonzero(fits):
         off = np.abs(w[i[k]] + factor[k] * (z - z[i[k]]) - w)
-        good = off <= slack
+        good = (off <= slack) & (np.abs(np.log(size[k] / ratio)) < 0.35) & ((factor[k] / size[k] * np.conj(turned)).real > 0.85)
         if min(len(np.unique(z[good])), len(np.unique(w[good]))) < AGREE:
             continue
         x, y = small[good, 0], small[good, 1]
@@ -310,13 +317,17 @@ def _describe(batches: Iterator[pa.RecordBatch], most_pixels: int = 1 << 20) ->
             yield settle(group)
 
 
-def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        codes = np.stack([batch.column(c).to_numpy() for c in ("a", "b")], 1)
-        bits = np.unpackbits(codes.view(np.uint8).reshape(len(codes), -1), axis=1)
-        for k, chosen in enumerate(_KEYS):
-            cell = bits[:, chosen].astype(np.int64) @ (np.int64(1) << np.arange(KEY_BITS, dtype=np.int64)) * TABLES + k
-            yield pa.RecordBatch.from_arrays([pa.array(cell), *batch.columns], names=["cell", *batch.schema.names])
+def _tables(tables: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = np.stack([batch.column(c).to_numpy() for c in ("a", "b")], 1)
+            bits = np.unpackbits(codes.view(np.uint8).reshape(len(codes), -1), axis=1)
+            for k, chosen in enumerate(_KEYS[:tables]):
+                cell = bits[:, chosen].astype(np.int64) @ (np.int64(1) << np.arange(KEY_BITS, dtype=np.int64)) * TABLES + k
+                number = pa.array(np.full(len(cell), k, np.int8))
+                yield pa.RecordBatch.from_arrays([pa.array(cell), number, *batch.columns], names=["cell", "k", *batch.schema.names])
+
+    return run
 
 
 def leaders(row: np.ndarray, codes: np.ndarray) -> np.ndarray:
@@ -332,8 +343,26 @@ def leaders(row: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return first
 
 
-def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def settle(cell: np.ndarray, row: np.ndarray, place: np.ndarray, codes: np.ndarray) -> pa.RecordBatch:
+def _whole_cells(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[np.ndarray]]:
+    """The columns of rows in order of cell, and their bits, some whole cells at a time; the first name is that of the cell."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        codes = np.stack([batch.column(c).to_numpy() for c in ("a", "b")], 1).view(np.uint64)
+        columns = [*(batch.column(c).to_numpy() for c in names), codes]
+        if held is not None:
+            columns = [np.concatenate(pair) for pair in zip(held, columns, strict=True)]
+        last = int(np.searchsorted(columns[0], columns[0][-1], side="left"))  # the last cell may go on in the next batch
+        if last:
+            yield [c[:last] for c in columns]
+        held = [c[last:] for c in columns]
+    if held is not None:
+        yield held
+
+
+def _lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for cell, row, place, codes in _whole_cells(batches, ["cell", "row", "place"]):
         first = np.arange(len(cell))
         starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
         ends = np.append(starts[1:], len(cell))
@@ -348,22 +377,94 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u, v = other, first[other]
         flip = row[u] < row[v]
         u, v = np.where(flip, v, u), np.where(flip, u, v)
-        return pa.RecordBatch.from_arrays([pa.array(row[u]), pa.array(row[v]), pa.array(place[u]), pa.array(place[v])], names=["u", "v", "pu", "pv"])
+        yield pa.RecordBatch.from_arrays([pa.array(row[u]), pa.array(row[v]), pa.array(place[u]), pa.array(place[v])], names=["u", "v", "pu", "pv"])
 
-    held = None
+
+def near_pairs(cell: np.ndarray, k: np.ndarray, group: np.ndarray, codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of corners of a cell that differ in RADIUS bits at most and are of two groups, if no table before theirs (``k``) has them in one cell.
+
+    Rows are in order of cell. Pairs are counted out some PAIRS_AT_ONCE at a time, those of one group not at all.
+    """
+    order = np.lexsort((group, cell))
+    cell, k, group, codes = cell[order], k[order], group[order], codes[order]
+    n = len(cell)
+    new_cell = np.concatenate([[True], cell[1:] != cell[:-1]])
+    new_run = new_cell | np.concatenate([[True], group[1:] != group[:-1]])
+    until = lambda new: np.append(np.flatnonzero(new)[1:], n)[np.cumsum(new) - 1]
+    run_end, cell_end = until(new_run), until(new_cell)
+    total = np.concatenate([[0], np.cumsum(cell_end - run_end)])
+    a = 0
+    while a < n and total[a] < total[n]:
+        b = max(a + 1, int(np.searchsorted(total, total[a] + PAIRS_AT_ONCE, side="right")) - 1)
+        i = np.repeat(np.arange(a, b), np.diff(total[a : b + 1]))
+        j = run_end[i] + total[a] + np.arange(len(i)) - total[i]
+        a = b
+        apart = codes[i] ^ codes[j]
+        near = np.bitwise_count(apart).sum(axis=1) <= RADIUS
+        i, j, apart = i[near], j[near], apart[near]
+        first = np.ones(len(i), bool)
+        for table in range(TABLES - 1):
+            first &= (k[i] <= table) | ((apart & _KEY_MASKS[table]) != 0).any(axis=1)
+        if first.any():
+            yield order[i[first]], order[j[first]]
+
+
+def _match(buckets: int):
+    """Matches (u, v, places) of rows in order of cell, dealt to buckets by pair of images and packed: a shuffled row is a blob of many."""
+
+    def settle(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        u, v, pu, pv = np.concatenate(found, axis=1)
+        to = ((u.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ v.view(np.uint64)) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(33)).astype(np.int64) % buckets
+        order = np.lexsort((v, u, to))
+        rows, to = np.stack([u, v, pu, pv])[:, order], to[order]
+        starts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
+        parts = np.split(rows, starts[1:], axis=1)
+        blobs = [pa.compress(np.ascontiguousarray(part).tobytes(), "zstd", asbytes=True) for part in parts]
+        sizes = [part.shape[1] for part in parts]
+        yield pa.RecordBatch.from_arrays([pa.array(to[starts]), pa.array(sizes, pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "n", "blob"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, held = [], 0
+        for cell, k, row, place, group, codes in _whole_cells(batches, ["cell", "k", "row", "place", "group"]):
+            for i, j in near_pairs(cell, k, group, codes):
+                i, j = np.where(row[i] > row[j], i, j), np.where(row[i] > row[j], j, i)
+                found.append(np.stack([row[i], row[j], place[i], place[j]]))
+                held += len(i)
+                if held >= MATCHES_AT_ONCE:
+                    yield from settle(found)
+                    found, held = [], 0
+        if found:
+            yield from settle(found)
+
+    return run
+
+
+def _agreed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of packed matches: rows in order of bucket. Images that a bucket's links have joined already are not held against each other again."""
+
+    def settle(held: list[np.ndarray]) -> pa.RecordBatch:
+        u, v, pu, pv = np.concatenate(held, axis=1)
+        order = np.lexsort((v, u))
+        u, v, pu, pv = u[order], v[order], pu[order], pv[order]
+        starts = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (v[1:] != v[:-1])]))
+        sizes, stars = np.diff(np.append(starts, len(u))), C.Stars()
+        for at, n in zip(starts[sizes >= AGREE].tolist(), sizes[sizes >= AGREE].tolist(), strict=True):
+            x, y = int(u[at]), int(v[at])
+            if stars.root(x) != stars.root(y) and agree(pu[at : at + n], pv[at : at + n]):
+                stars.join(x, y)
+        rows = np.array(stars.rows(), np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1])], names=["u", "v"])
+
+    bucket, held = None, []
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        codes = np.stack([batch.column(c).to_numpy() for c in ("a", "b")], 1).view(np.uint64)
-        columns = [*(batch.column(c).to_numpy() for c in ("cell", "row", "place")), codes]
-        if held is not None:
-            columns = [np.concatenate(pair) for pair in zip(held, columns, strict=True)]
-        last = int(np.searchsorted(columns[0], columns[0][-1], side="left"))  # the last cell may go on in the next batch
-        if last:
-            yield settle(*(c[:last] for c in columns))
-        held = [c[last:] for c in columns]
-    if held is not None:
-        yield settle(*held)
+        for to, n, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            if to != bucket:
+                if held:
+                    yield settle(held)
+                bucket, held = to, []
+            held.append(np.frombuffer(pa.decompress(blob.as_buffer(), 32 * n, "zstd", asbytes=True), np.int64).reshape(4, n))
+    if held:
+        yield settle(held)
 
 
 def _consensus(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -387,18 +488,21 @@ def image_copies(images: DataFrame, id_col: str = "image_id", image_col: str = "
     distinct = rows.filter("image is not null and octet_length(image) > 0").groupBy("digest").agg(F.first("image").alias("image"))
     described = distinct.join(own.select("digest", "row"), "digest").select("row", "image").mapInArrow(_describe, POINT_SCHEMA)
     points = C.materialize(described, "points")
-    # corners with equal bits are one point of the tables, and are matched to the first of them
-    merged = points.groupBy("a", "b").agg(F.min(F.struct("row", "place")).alias("first"), F.count("*").alias("n"))
-    merged = C.materialize(merged.select("first.row", "first.place", "a", "b", "n"), "merged")
-    shared = merged.filter("n > 1").select("a", "b", F.col("row").alias("v"), F.col("place").alias("pv"))
-    same = points.join(shared, ["a", "b"]).filter("row != v").select(F.col("row").alias("u"), "v", F.col("place").alias("pu"), "pv")
-    tables = merged.drop("n").mapInArrow(_tables, "cell bigint, " + POINT_SCHEMA)
-    cells = C.split_large_cells(tables, ["a", "b"], CELL_BLOCK)
-    dealt = cells.repartition(C.partitions_of(spark), "cell").sortWithinPartitions("cell")
-    matches = dealt.mapInArrow(_match, "u bigint, v bigint, pu bigint, pv bigint").unionByName(same)
-    # a pair has no more matches than its images have corners in all tables
-    pairs = matches.groupBy("u", "v").agg(F.count("*").alias("n"), F.collect_set(F.struct("pu", "pv")).alias("found")).filter(f"size(found) >= {AGREE}")
-    stars = components(pairs.select("u", "v", "found").mapInArrow(_consensus, "u bigint, v bigint"))
+    n = C.partitions_of(spark)
+    # first each corner to one that is near, where corners with equal bits are one point
+    merged = points.groupBy("a", "b").agg(F.min(F.struct("row", "place")).alias("first"))
+    leading = merged.select("first.row", "first.place", "a", "b").mapInArrow(_tables(LEAD_TABLES), "cell bigint, k tinyint, " + POINT_SCHEMA).drop("k")
+    dealt = C.split_large_cells(leading, ["a", "b"], CELL_BLOCK).repartition(n, "cell").sortWithinPartitions("cell")
+    matches = dealt.mapInArrow(_lead, "u bigint, v bigint, pu bigint, pv bigint")
+    pairs = matches.groupBy("u", "v").agg(F.collect_set(F.struct("pu", "pv")).alias("found")).filter(f"size(found) >= {AGREE}")
+    bulk = components(pairs.select("u", "v", "found").mapInArrow(_consensus, "u bigint, v bigint"))
+    # then every pair of near corners of two classes
+    grouped = points.join(bulk.select(F.col("u").alias("row"), F.col("v").alias("group")), "row", "left").withColumn("group", F.coalesce("group", "row"))
+    tables = grouped.mapInArrow(_tables(TABLES), "cell bigint, k tinyint, " + POINT_SCHEMA + ", group bigint")
+    dealt = C.split_large_cells(tables, ["a", "b", "row", "place"], CELL_BLOCK).repartition(n, "cell").sortWithinPartitions("cell")
+    packed = dealt.mapInArrow(_match(max(n, BUCKETS)), "bucket bigint, n bigint, blob binary")
+    agreed = packed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_agreed, "u bigint, v bigint")
+    stars = components(bulk.unionByName(agreed))
     rooted = own.join(stars.select(F.col("u").alias("row"), "v"), "row", "left").withColumn("root", F.coalesce("v", "row"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("class_id")), "root")
     counted = named.join(points.groupBy("row").agg(F.count("*").alias("n_corners")), "row", "left")

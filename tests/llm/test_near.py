@@ -2,6 +2,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -302,3 +303,40 @@ def test_image_copies(spark):
     assert all(got[k].class_id == k for k in range(21, 26)) and got[30].class_id == 30 and got[31].class_id == 30 and got[33].class_id == 32
     assert got[32].n_corners == 0 and got[34].n_corners == 0
     assert media.image_copies(spark.createDataFrame([], "image_id bigint, image binary")).count() == 0
+
+
+def test_every_pair_of_near_corners_is_matched_once():
+    r = np.random.default_rng(8)
+    base = r.integers(0, 2**64, (12, 2), dtype=np.uint64)
+    codes = np.repeat(base, 20, axis=0)
+    for _ in range(6):
+        codes[np.arange(240), r.integers(0, 2, 240)] ^= np.uint64(1) << r.integers(0, 64, 240).astype(np.uint64)
+    group = r.integers(0, 30, 240)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(240)), pa.array(codes[:, 0].view(np.int64)), pa.array(codes[:, 1].view(np.int64))], names=["row", "a", "b"])
+    table = pa.Table.from_batches(list(media._tables(media.TABLES)([batch]))).sort_by("cell")
+    row = table["row"].to_numpy()
+    cell, k = table["cell"].to_numpy(), table["k"].to_numpy()
+    got = [(min(a, b), max(a, b)) for i, j in media.near_pairs(cell, k, group[row], codes[row]) for a, b in zip(row[i].tolist(), row[j].tolist())]
+    together = {(a, b) for c in np.unique(cell) for a in row[cell == c].tolist() for b in row[cell == c].tolist() if a < b}
+    want = {(a, b) for a, b in together if group[a] != group[b] and np.bitwise_count(codes[a] ^ codes[b]).sum() <= media.RADIUS}
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 500
+
+
+def test_copies_are_linked_though_their_corners_are_nearer_to_a_third_image(spark, monkeypatch):
+    # four pairs of copies; all images have all corners, but each pair has them strewn in its own way
+    r = np.random.default_rng(9)
+    codes = r.integers(-(2**62), 2**62, (40, 2))
+    x, y = r.integers(20, 140, 40), r.integers(20, 140, 40)
+    zero = np.zeros(40, np.int64)
+    orders = [r.permutation(40) for _ in range(4)]
+    place = [media.pack_place(x[orders[k // 2]] + 3 * (k % 2), y[orders[k // 2]], zero, zero, 160, 160) for k in range(8)]
+
+    def describe(batches):
+        for batch in batches:
+            for row, image in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array([row] * 40), pa.array(place[image[0]]), pa.array(codes[:, 0]), pa.array(codes[:, 1])], names=["row", "place", "a", "b"])
+
+    monkeypatch.setattr(media, "_describe", describe)
+    images = [(k, bytes([k])) for k in range(8)]
+    got = {r.image_id: r.class_id for r in media.image_copies(spark.createDataFrame(images, "image_id bigint, image binary")).collect()}
+    assert got == {k: k // 2 * 2 for k in range(8)}

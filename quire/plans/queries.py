@@ -221,10 +221,13 @@ _ISLANDS = """, tk as (select *, case when tag <> 'O' then substr(tag, 3) end as
     isl as (select *, sum(c) over (partition by doc_id order by idx) as island from cut), led as (select *, first_value(begins) over (partition by doc_id, island order by idx) as lead_b from isl)"""
 
 
+def _tag(idx):
+    k = idx % 17
+    return F.when(k == 3, "B-NAME").when(k == 4, "I-NAME").when(k == 9, "I-DATE").when(k == 11, "B-TOTAL").when(k.isin(12, 13), "I-TOTAL").otherwise("O")
+
+
 def _tags(spark, sf_dir) -> DataFrame:
-    k = F.col("idx") % 17
-    tag = F.when(k == 3, "B-NAME").when(k == 4, "I-NAME").when(k == 9, "I-DATE").when(k == 11, "B-TOTAL").when(k.isin(12, 13), "I-TOTAL").otherwise("O")
-    return A.words(spark, sf_dir).withColumn("tag", tag)
+    return A.words(spark, sf_dir).withColumn("tag", _tag(F.col("idx")))
 
 
 @query("with " + _TAGS + _ISLANDS.format(t="tg") + """ select doc_id, any_value(kind) as label, min(idx)::INT as first, max(idx)::INT as last, string_agg(word, ' ' order by idx) as text from led where kind is not null and lead_b group by doc_id, island""")
@@ -766,11 +769,14 @@ def text_functions(spark, sf_dir):
 @query("with " + _TAGS + """, l as (select doc_id, string_agg(word || ' ' || tag, ' ' order by idx) as t, count(*) as n, count(*) filter (tag <> 'O') as tagged from tg where regexp_matches(word, '^[A-Za-z]+$') group by 1) select doc_id, md5(t) as digest, n, tagged from l""")
 def labelled_text_round_trip(spark, sf_dir):
     """STR20, STR21: words and labels as one text, and read from it again."""
-    w = _tags(spark, sf_dir).filter(F.col("word").rlike("^[A-Za-z]+$"))
-    per = w.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", "word", "tag"))).alias("x"))
+    tagged = F.transform("words", lambda w, i: F.struct(i.alias("idx"), w.alias("word"), _tag(i).alias("tag")))
+    per = A.word_arrays(spark, sf_dir).select("doc_id", F.filter(tagged, lambda e: e["word"].rlike("^[A-Za-z]+$")).alias("x"))
+    if not per.groupBy("doc_id").count().filter("count > 1").isEmpty():  # rows of one id are one text; else no word is moved
+        per = per.groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_list("x"))).alias("x"))
     t = per.select("doc_id", T.labelled_text(F.transform("x", lambda e: e["word"]), F.transform("x", lambda e: e["tag"])).alias("t"))
-    pairs = t.select("doc_id", "t", F.explode(T.labelled_words(F.col("t"), ["NAME", "DATE", "TOTAL"])).alias("p"))
-    return pairs.groupBy("doc_id").agg(F.md5(F.first("t")).alias("digest"), F.count("*").alias("n"), F.count_if(F.col("p.label") != "O").alias("tagged"))
+    pairs = t.select("doc_id", F.md5("t").alias("digest"), T.labelled_words(F.col("t"), ["NAME", "DATE", "TOTAL"]).alias("p"))
+    n, labelled = F.size("p").cast("bigint"), F.size(F.filter("p", lambda p: p["label"] != "O")).cast("bigint")
+    return pairs.select("doc_id", "digest", n.alias("n"), labelled.alias("tagged")).filter("n > 0")
 
 
 @query("with " + A.WORD_BOXES + """ select doc_id, idx, x0::INT as x, y0::INT as y, (x2 - x0)::INT + 1 as width, (y2 - y0)::INT + 1 as height, x0::INT + (x2 - x0)::INT + 1 as right_edge from wb""")

@@ -54,3 +54,14 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() > 0 and set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
+def test_labelled_texts_move_no_words(spark, tmp_path):
+    from quire.plans.queries import QUERIES
+
+    run = QUERIES["labelled_text_round_trip"]
+    assert "Exchange" not in run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    rows = [(1, "one 2 two three"), (1, "four"), (2, "7 8"), (None, "five")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {(r.doc_id, r.n, r.tagged) for r in run(spark, str(tmp_path)).collect()} == {(1, 4, 1), (None, 1, 0)}

@@ -1,6 +1,7 @@
 """Near copies by the similarity of their texts: pairs whose sets of five-word shingles have a Jaccard similarity of 0.8 and more, and their components.
 
-Texts with equal sets are one point. Each point has BANDS cells of ROWS minhashes; points that share a cell are candidates, and a pair of similarity
+Texts with equal sets are one point. Candidates are the links of the SimHash operator (simhash.links: fingerprints of the same shingles that differ in
+RADIUS bits at most) and, since these are few of the pairs of 0.8, points that share one of BANDS cells of ROWS minhashes; a pair of similarity
 0.8 shares none with probability (1 - 0.8 ** 7) ** 40, one in 12,000. Candidates are joined to groups, the texts of a group meet in one place, and there
 the exact intersections of all its pairs are counted: what is linked in the end are verified pairs only. A text is sent once, however many cells it
 shares; groups over GROUP_BLOCK texts are cut into blocks, and each pair of blocks is verified on its own.
@@ -18,9 +19,10 @@ from pyspark.sql import functions as F
 
 from quire.llm import _common as C
 from quire.llm.components import components
-from quire.llm.simhash import SEED, keep_least, shingle_hashes
+from quire.llm.simhash import SEED, fingerprint_of, keep_least, links, shingle_hashes
 
-BANDS, ROWS = 40, 7
+#: Bits of a fingerprint that may differ; cells of minhashes, minhashes of a cell.
+RADIUS, BANDS, ROWS = 4, 40, 7
 #: Points of a group that are verified in one piece; larger groups are cut into blocks of about this size.
 GROUP_BLOCK = 512
 _FACTORS = np.random.default_rng(SEED).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -49,15 +51,18 @@ def minhashes(hashes: np.ndarray) -> np.ndarray:
 def _prints(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            points, bands = [], []
+            points, prints, bands = [], [], []
             for text in batch.column(1):
-                hashes = shingle_set(text.as_py(), words)
+                hashes = shingle_hashes(text.as_py(), words)
+                prints.append(fingerprint_of(hashes))
+                hashes = np.unique(hashes)
                 points.append(point_of(hashes))
                 least = minhashes(hashes).reshape(BANDS, ROWS)
                 bands.append([xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least)])
             flat = np.array(bands, np.uint64).reshape(-1).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(points) + 1, dtype=np.int32) * BANDS), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(points, pa.int64()), lists], names=["doc_id", "point", "bands"])
+            fp = pa.array(np.array(prints, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(points, pa.int64()), fp, lists], names=["doc_id", "point", "fp", "bands"])
 
     return run
 
@@ -124,6 +129,17 @@ def _verify(words: int, tenths: int):
     return run
 
 
+def candidate_links(table: DataFrame, points: DataFrame) -> DataFrame:
+    """u, v: stars over points whose components are the groups of candidates; table (point, fp), points (point, bands), both materialized."""
+    n = C.partitions_of(table.sparkSession)
+    first = C.materialize(table.groupBy("fp").agg(F.min("point").alias("first")), "fingerprints")
+    same = table.select("point", "fp").distinct().join(first, "fp").select(F.col("point").alias("u"), F.col("first").alias("v")).filter("u != v")
+    at = lambda c: first.select(F.col("fp").alias(c), F.col("first").alias(c + "_point"))
+    near = links(first, RADIUS).join(at("u"), "u").join(at("v"), "v").select(F.col("u_point").alias("u"), F.col("v_point").alias("v"))
+    cells = points.select(F.explode("bands").alias("cell"), "point").repartition(n, "cell").sortWithinPartitions("cell")
+    return same.unionByName(near).unionByName(cells.mapInArrow(_star_cells, "u bigint, v bigint"))
+
+
 def near_copies(docs: DataFrame, words: int = 5, tenths: int = 8, id_col: str = "doc_id", text_col: str = "text", block: int = GROUP_BLOCK) -> DataFrame:
     """doc_id, component_id: the smallest doc_id that links of a similarity of ``tenths`` / 10 and more reach, itself included.
 
@@ -131,11 +147,10 @@ def near_copies(docs: DataFrame, words: int = 5, tenths: int = 8, id_col: str =
     component of its text and names none. Cells are made for 0.8: below it, more pairs share none.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), C.text_of(text_col).alias("text"))
-    table = C.materialize(rows.mapInArrow(_prints(words), "doc_id bigint, point bigint, bands array<bigint>"), "prints")
+    table = C.materialize(rows.mapInArrow(_prints(words), "doc_id bigint, point bigint, fp bigint, bands array<bigint>"), "prints")
     points = C.materialize(table.groupBy("point").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands")), "points")
     n = C.partitions_of(docs.sparkSession)
-    cells = points.select(F.explode("bands").alias("cell"), "point").repartition(n, "cell").sortWithinPartitions("cell")
-    candidates = C.materialize(components(cells.mapInArrow(_star_cells, "u bigint, v bigint")), "candidates")
+    candidates = C.materialize(components(candidate_links(table, points)), "candidates")
     grouped = candidates.select(F.col("u").alias("point"), F.col("v").alias("cell")).unionByName(candidates.select(F.col("v").alias("point"), F.col("v").alias("cell")).distinct())
     members = C.materialize(C.split_large_cells(grouped.join(points.select("point", "least"), "point").select("cell", "point", "least"), "point", block), "members")
     # merged at every size: the growth of the shuffle is that of the texts
@@ -144,8 +159,8 @@ def near_copies(docs: DataFrame, words: int = 5, tenths: int = 8, id_col: str =
     if not lost.isEmpty():  # points of rows without an id alone
         found = rows.filter("doc_id is null").mapInArrow(_points(words), "point bigint, text string").join(lost, "point").select("cell", "text")
         named = named.unionByName(found)
-    links = named.repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(_verify(words, tenths), "u bigint, v bigint")
-    stars = components(links)
+    verified = named.repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(_verify(words, tenths), "u bigint, v bigint")
+    stars = components(verified)
     rooted = points.select("point", "least").join(stars.select(F.col("u").alias("point"), "v"), "point", "left").withColumn("root", F.coalesce("v", "point"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return table.select("doc_id", "point").join(rooted.select("point", "root").join(ids, "root").select("point", "component_id"), "point").select("doc_id", "component_id")

@@ -340,3 +340,10 @@ def test_copies_are_linked_though_their_corners_are_nearer_to_a_third_image(spar
     images = [(k, bytes([k])) for k in range(8)]
     got = {r.image_id: r.class_id for r in media.image_copies(spark.createDataFrame(images, "image_id bigint, image binary")).collect()}
     assert got == {k: k // 2 * 2 for k in range(8)}
+
+
+def test_stage_takes_candidates_by_fingerprints_too(spark):
+    fp = [0b1111, 0b1000, 0b1000, 1 << 40, -1]
+    table = spark.createDataFrame([(10 + k, f, [k]) for k, f in enumerate(fp)], "point bigint, fp bigint, bands array<bigint>")
+    found = {r.u: r.v for r in components(near_copies.candidate_links(table, table)).collect()}
+    assert found == {11: 10, 12: 10, 13: 10}  # no cell is shared; 1 << 40 is two bits from 0b1000

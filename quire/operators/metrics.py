@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,15 +133,106 @@ def detection_matches(gold: DataFrame, pred: DataFrame) -> DataFrame:
     return both.groupBy("image_id", "label").applyInPandas(match, "label string, area string, most int, threshold double, score double, hit boolean, n_gold bigint")
 
 
+#: Area, limit and threshold of each way that detections are scored; limits of detections an image are part of the measure.
+_WAYS = [(name, most, t) for name in AREAS for most in ((1, 10, 100) if name == "all" else (100,)) for t in THRESHOLDS]
+_LEAST, _MOST = (np.array([AREAS[name][k] for name, _, _ in _WAYS]) for k in (0, 1))
+_LIMIT, _NEEDED = np.array([most for _, most, _ in _WAYS]), np.array([min(t, 1 - 1e-10) for _, _, t in _WAYS])
+
+
+def _all_ways(g: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """_greedy of one image and class in all _WAYS side by side: hits and misses (detection, way), gold boxes that count (way)."""
+    size, own = ((b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1]) for b in (g, d))
+    counts = (size >= _LEAST[:, None]) & (size <= _MOST[:, None])  # way, gold
+    hits, misses = np.zeros((2, len(d), len(_WAYS)), bool)
+    inside = (own[:, None] >= _LEAST) & (own[:, None] <= _MOST)
+    if not len(g):
+        return hits, inside & (np.arange(len(d))[:, None] < _LIMIT), counts.sum(axis=1)
+    w = np.minimum(d[:, None, 2], g[None, :, 2]) - np.maximum(d[:, None, 0], g[None, :, 0])
+    h = np.minimum(d[:, None, 3], g[None, :, 3]) - np.maximum(d[:, None, 1], g[None, :, 1])
+    inter = np.where((w > 0) & (h > 0), w * h, 0.0)
+    iou = inter / np.maximum(size[None, :] + own[:, None] - inter, 1e-12)
+    free, way, least = np.ones(counts.shape, bool), np.arange(len(_WAYS)), _NEEDED.min()
+    for k in range(len(d)):
+        able = _LIMIT > k
+        if iou[k].max() < least:
+            misses[k] = able & inside[k]
+            continue
+        first, then = (np.where(free & part, iou[k], -1.0) for part in (counts, ~counts))
+        a, b = first.argmax(axis=1), then.argmax(axis=1)
+        hit = able & (first[way, a] >= _NEEDED)
+        put = able & ~hit & (then[way, b] >= _NEEDED)
+        free[way[hit], a[hit]] = False
+        free[way[put], b[put]] = False
+        hits[k], misses[k] = hit, able & ~hit & ~put & inside[k]
+    return hits, misses, counts.sum(axis=1)
+
+
+def _count_ways(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of image, class and then best first: counts by class, score and way; a missing score counts as -1."""
+    found: dict[tuple, np.ndarray] = {}  # (label, score): hits and misses; (label, None): gold boxes
+
+    def add(key: tuple, row: np.ndarray) -> None:
+        if key in found:
+            found[key] += row
+        else:
+            found[key] = row.astype(np.int64)
+
+    def settle(label, boxes: np.ndarray, scores: np.ndarray, is_gold: np.ndarray) -> None:
+        d, s = boxes[~is_gold][:100], scores[~is_gold][:100].tolist()
+        hits, misses, n = _all_ways(boxes[is_gold], d)
+        add((label, None), np.stack([n, n]))
+        for k, score in enumerate(s):
+            add((label, -1.0 if math.isnan(score) else score), np.stack([hits[k], misses[k]]))
+
+    def rows() -> pa.RecordBatch:
+        keys, times = list(found), len(_WAYS)
+        columns = [pa.array([x for x in column for _ in range(times)], kind) for column, kind in (([k[0] for k in keys], pa.string()), ([k[1] for k in keys], pa.float64()))]
+        area, most, t = zip(*_WAYS)
+        columns += [pa.array(list(area) * len(keys)), pa.array(np.tile(np.array(most, np.int32), len(keys))), pa.array(np.tile(np.round(t, 2), len(keys)))]
+        columns += [pa.array(np.concatenate([found[k][side] for k in keys])) for side in (0, 1)]
+        return pa.RecordBatch.from_arrays(columns, names=["label", "score", "area", "most", "threshold", "h", "f"])
+
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        if not table.num_rows:
+            continue
+        label, is_gold, score = (table[c].to_numpy(zero_copy_only=False) for c in ("label", "is_gold", "score"))
+        image = pc.dictionary_encode(table["image_id"].combine_chunks(), null_encoding="encode").indices.to_numpy()  # a null id is one image
+        boxes = np.stack([table[c].to_numpy(zero_copy_only=False).astype(float) for c in ("x0", "y0", "x2", "y2")], 1)
+        starts = np.flatnonzero(np.concatenate([[True], (image[1:] != image[:-1]) | (label[1:] != label[:-1])]))
+        for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            settle(label[lo], boxes[lo:hi], score[lo:hi], is_gold[lo:hi])
+        held = table.slice(int(starts[-1]))  # the last group may go on in the next batch
+        if len(found) > 4096:
+            yield rows()
+            found.clear()
+    if held is not None:
+        settle(held["label"][0].as_py(), np.stack([held[c].to_numpy(zero_copy_only=False).astype(float) for c in ("x0", "y0", "x2", "y2")], 1), held["score"].to_numpy(zero_copy_only=False), held["is_gold"].to_numpy(zero_copy_only=False))
+        yield rows()
+
+
+def detection_counts(gold: DataFrame, pred: DataFrame) -> DataFrame:
+    """STAT15: label, area, most, threshold, score, h, f: hits and misses of detections by score; without a score, h is the number of gold boxes.
+
+    The same matches as detection_matches, counted where they are found.
+    """
+    cols = ["image_id", "label", "x0", "y0", "x2", "y2", "score", "det", "is_gold"]
+    both = gold.withColumns({"score": F.lit(0.0), "det": F.lit(-1), "is_gold": F.lit(True)}).select(*cols).unionByName(pred.withColumn("is_gold", F.lit(False)).select(*cols))
+    both = both.withColumn("score", F.col("score").cast("double")).repartition("image_id", "label").sortWithinPartitions("image_id", "label", F.desc("score"), "det")
+    return both.mapInArrow(_count_ways, "label string, score double, area string, most int, threshold double, h bigint, f bigint")
+
+
 def detection_scores(gold: DataFrame, pred: DataFrame) -> DataFrame:
     """STAT15: area, most, ap, ap50, ap75, ar: precision at 101 recalls under its envelope, means over classes and thresholds, all classes scored.
 
     Precision and recall run along the scores in a window; equal scores share the values of the last of them.
     """
-    m = detection_matches(gold, pred)
     group = ["label", "area", "most", "threshold"]
-    totals = m.groupBy(*group).agg(F.sum("n_gold").alias("n"), F.count_if("hit").alias("hits")).filter("n > 0")
-    steps = m.filter("n_gold = 0").groupBy(*group, "score").agg(F.count_if("hit").alias("h"), F.count_if(~F.col("hit")).alias("f"))
+    m = detection_counts(gold, pred).groupBy(*group, "score").agg(F.sum("h").alias("h"), F.sum("f").alias("f"))
+    of = lambda gold_boxes: F.coalesce(F.sum(F.when(F.col("score").isNull() if gold_boxes else F.col("score").isNotNull(), F.col("h"))), F.lit(0))
+    totals = m.groupBy(*group).agg(of(True).alias("n"), of(False).alias("hits")).filter("n > 0")
+    steps = m.filter("score is not null")
     down = Window.partitionBy(*group).orderBy(F.desc("score"))
     curve = steps.filter("h + f > 0 and score > 0").withColumn("tp", F.sum("h").over(down)).withColumn("fp", F.sum("f").over(down)).join(totals, group)
     curve = curve.withColumn("recall", F.col("tp") / F.col("n")).withColumn("precision", F.col("tp") / (F.col("tp") + F.col("fp")))

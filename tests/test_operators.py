@@ -348,3 +348,22 @@ def test_boxes_in_rects_of_any_height(spark):
     df = spark.createDataFrame(rects, "doc_id int, rect_id int, rect struct<x:double,y:double,width:double,height:double>")
     got = boxes.boxes_in_rect(spark.createDataFrame(words, "doc_id int, idx int, x0 double, y0 double, x2 double, y2 double"), df).collect()
     assert {(r.doc_id, r.rect_id): r.indices for r in got} == {k: v for k, v in expected.items() if v}
+
+
+def test_detections_are_counted_as_they_are_matched(spark):
+    r = np.random.default_rng(5)
+    boxes = lambda n: [(x, y, x + w, y + h) for x, y, w, h in zip(*(r.integers(lo, hi, n).astype(float).tolist() for lo, hi in ((0, 40), (0, 40), (10, 130), (10, 130))))]
+    gold, pred = [], []
+    for image in [None, *range(25)]:
+        for label in "ab":
+            gold += [(image, label, *b) for b in boxes(r.integers(0, 9))]
+            pred += [(image, label, k, *b, float(r.integers(1, 5)) / 4) for k, b in enumerate(boxes(r.choice([0, 3, 12, 130])))]
+    gold = spark.createDataFrame(gold, "image_id int, label string, x0 double, y0 double, x2 double, y2 double")
+    pred = spark.createDataFrame(pred, "image_id int, label string, det int, x0 double, y0 double, x2 double, y2 double, score double")
+    way = ["label", "area", "most", "threshold"]
+    plain = metrics.detection_matches(gold, pred)
+    n = {(*r[:4], None): (r.n, r.n) for r in plain.groupBy(*way).agg(F.sum("n_gold").alias("n")).collect()}
+    of = plain.filter("score > 0").groupBy(*way, "score").agg(F.count_if("hit").alias("h"), F.count_if(~F.col("hit")).alias("f"))
+    want = {**n, **{tuple(r[:5]): (r.h, r.f) for r in of.collect()}}
+    got = metrics.detection_counts(gold, pred).groupBy(*way, "score").agg(F.sum("h").alias("h"), F.sum("f").alias("f")).filter("score is null or h + f > 0")
+    assert {tuple(r[:5]): (r.h, r.f) for r in got.collect()} == want and len(want) > 500

@@ -39,8 +39,8 @@ MIN_COUNT = 3
 DENSE = 16_384
 #: The end token as a word: no word has a line end.
 END = b"\n"
-#: Entries of a task's counter before it is emptied.
-COUNTER_ROWS = 300_000
+#: Entries of a task's counter before it is emptied, and of neighbours before they are put together by word.
+COUNTER_ROWS, NEAR_ROWS = 300_000, 1 << 20
 #: Pseudo-counts: of words and units, and of a class's history.
 ADD, PRIOR = 0.5, 20.0
 
@@ -256,7 +256,8 @@ class Lexicon:
 
 
 def _neighbours(sent, unit_classes: np.ndarray, most_dense: int, slice_rows: int = 256):
-    """Counts of the classes before and after each word that is not in the core: h (XXH64 of the word), shape_class, code, n.
+    """Counts of the classes before and after each word that is not in the core: a row for each word and so many occurrences (NEAR_ROWS), with h (XXH64 of the word),
+    shape_class, and lists of code and n as bytes.
 
     A code is both classes, before * 128 + after, or for the most frequent words one of them: 2**14 + side * 128 + class.
     """
@@ -266,6 +267,18 @@ def _neighbours(sent, unit_classes: np.ndarray, most_dense: int, slice_rows: int
         hashes = np.array([xxhash.xxh64_intdigest(w, 42) for w in v.words], np.uint64).view(np.int64)
         first, dense = 1 + v.core, min(most_dense, len(v.words))
         table = np.zeros((max(0, dense - first), 256), np.int32)
+        near, far, held = [], [], 0
+
+        def grouped() -> Iterator[pa.RecordBatch]:
+            if near:
+                key, n = np.unique(np.concatenate(near), return_counts=True)
+                at = key >> 14
+                yield from _by_word(hashes[at], unit_classes[unit[at]], key & 16383, n)
+            if far:
+                h, own, code = (np.concatenate(c) for c in zip(*far, strict=True))
+                order = np.argsort(h, kind="stable")
+                yield from _by_word(h[order], own[order], code[order], np.ones(len(h), np.int64))
+
         for whole in batches:
             for a in range(0, whole.num_rows, slice_rows):
                 texts = whole.column(0).slice(a, slice_rows).to_pylist()
@@ -278,19 +291,42 @@ def _neighbours(sent, unit_classes: np.ndarray, most_dense: int, slice_rows: int
                 np.add.at(table.reshape(-1), row + before[middle], 1)
                 np.add.at(table.reshape(-1), row + 128 + after[middle], 1)
                 code = before * 128 + after
-                near, far = np.flatnonzero(at >= dense), np.flatnonzero(at < 0)
-                h = np.concatenate([hashes[at[near]], np.array([xxhash.xxh64_intdigest(words[k], 42) for k in far.tolist()], np.uint64).view(np.int64)])
-                which = np.concatenate([near, far])
-                yield _coded(h, cls[which], code[which], np.ones(len(h), np.int64))
+                some, others = np.flatnonzero(at >= dense), np.flatnonzero(at < 0)
+                near.append((at[some].astype(np.int64) << 14) | code[some])
+                far.append((np.array([xxhash.xxh64_intdigest(words[k], 42) for k in others.tolist()], np.uint64).view(np.int64), cls[others], code[others]))
+                held += len(some) + len(others)
+                if held >= NEAR_ROWS:
+                    yield from grouped()
+                    near, far, held = [], [], 0
+        yield from grouped()
         there = np.flatnonzero(table)
         at = first + there // 256
-        yield _coded(hashes[at], unit_classes[unit[at]], (1 << 14) + there % 256, table.reshape(-1)[there])
+        yield from _by_word(hashes[at], unit_classes[unit[at]], (1 << 14) + there % 256, table.reshape(-1)[there])
 
     return run
 
 
-def _coded(h: np.ndarray, own: np.ndarray, code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(h), pa.array(own.astype(np.int16)), pa.array(code.astype(np.int32)), pa.array(n.astype(np.int64))], names=["h", "shape_class", "code", "n"])
+NEAR_SCHEMA = "h bigint, shape_class smallint, codes binary, counts binary"
+
+
+def _by_word(h: np.ndarray, own: np.ndarray, code: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A row for each run of equal h: its codes as 16-bit and their counts as 32-bit integers."""
+    if len(h):
+        begin = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1])
+        ends = np.append(begin, len(h)).astype(np.int32)
+        lists = [pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(ends * x.itemsize), pa.py_buffer(x)]) for x in (code.astype(np.int16), n.astype(np.int32))]
+        yield pa.RecordBatch.from_arrays([pa.array(h[begin]), pa.array(own[begin].astype(np.int16)), *lists], names=["h", "shape_class", "codes", "counts"])
+
+
+def _entries(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """h, shape_class, code and n of each entry of the rows of _by_word()."""
+    found = []
+    for name, kind in (("codes", np.int16), ("counts", np.int32)):
+        column = batch.column(name).cast(pa.binary())
+        ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] // np.dtype(kind).itemsize
+        found.append(np.frombuffer(column.buffers()[2], kind)[ends[0] : ends[-1]].astype(np.int64))
+    many = np.diff(ends)
+    return [np.repeat(batch.column(c).to_numpy().astype(np.int64), many) for c in ("h", "shape_class")] + found
 
 
 def best_classes(of: np.ndarray, side: np.ndarray, cls: np.ndarray, n: np.ndarray, now: np.ndarray, pairs: np.ndarray) -> np.ndarray:
@@ -331,7 +367,7 @@ def best_classes(of: np.ndarray, side: np.ndarray, cls: np.ndarray, n: np.ndarra
 
 
 def _exchange_words(pairs: np.ndarray):
-    """Rows (h, shape_class, code, n) in order of h to (h, class) of the words with MIN_COUNT occurrences and more."""
+    """Rows of _by_word() in order of h to (h, class) of the words with MIN_COUNT occurrences and more. A word may have many rows, and a code may come again."""
 
     def settle(h, now, code, n) -> pa.RecordBatch:
         single = code >> 14 == 1
@@ -355,7 +391,7 @@ def _exchange_words(pairs: np.ndarray):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            columns = [batch.column(c).to_numpy().astype(np.int64) for c in ("h", "shape_class", "code", "n")]
+            columns = _entries(batch)
             if held is not None:
                 columns = [np.concatenate(x) for x in zip(held, columns, strict=True)]
             last = int(np.searchsorted(columns[0], columns[0][-1], side="left"))  # the last word may go on in the next batch
@@ -364,6 +400,9 @@ def _exchange_words(pairs: np.ndarray):
                 held = [c[last:] for c in columns]
             else:
                 held = columns
+            if len(held[0]) > 1 << 18 and held[0][0] == held[0][-1]:  # one word: no more entries than codes
+                codes, which = np.unique(held[2], return_inverse=True)
+                held = [held[0][: len(codes)], held[1][: len(codes)], codes, np.bincount(which, weights=held[3]).astype(np.int64)]
         if held is not None:
             yield settle(*held)
 
@@ -392,8 +431,7 @@ def cluster(docs: DataFrame, text_col: str = "text", classes: int = CLASSES, pas
         part = fitted[fitted["kind"] == kind]
         out[part["at"].to_numpy()] = part["value"].to_numpy()
     shape_classes = unit_classes[1 + v.core :]
-    near = rows.mapInArrow(_neighbours(sent, unit_classes, DENSE), "h bigint, shape_class smallint, code int, n bigint")
-    near = near.groupBy("h", "code").agg(F.sum("n").alias("n"), F.min("shape_class").alias("shape_class"))  # 2**14 + 256 rows a word at most
+    near = rows.mapInArrow(_neighbours(sent, unit_classes, DENSE), NEAR_SCHEMA)
     moved = near.repartition(C.partitions_of(spark), "h").sortWithinPartitions("h").mapInArrow(_exchange_words(n.reshape(k, k)), "h bigint, class smallint")
     named = counts.select("word", "c", F.xxhash64("word").alias("h"))
     core = spark.createDataFrame([(bytearray(w), int(c)) for w, c in zip(v.words[: 1 + v.core], unit_classes, strict=False)], "word binary, core_class int")

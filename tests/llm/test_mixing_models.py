@@ -275,6 +275,47 @@ def test_language_model_probabilities_sum_to_one(docs):
     assert np.allclose(((total + 0.5) / 10**model.denominator)[there], 1)
 
 
+@pytest.mark.parametrize("near_rows", [1 << 20, 40])
+def test_neighbours_are_a_row_a_word(near_rows, monkeypatch):
+    """A task gives a row for each word and so many occurrences, not one for each occurrence; what comes of the rows is the same however they are cut."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+    import xxhash
+
+    monkeypatch.setattr(brown_lm, "CORE", 3)
+    monkeypatch.setattr(brown_lm, "NEAR_ROWS", near_rows)
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{k}" for k in rng.geometric(0.1, 60)) for _ in range(20)]
+    seen = Counter(w for t in texts for w in t.encode().split())
+    words = [brown_lm.END, *sorted(seen, key=lambda w: (-seen[w], w))[:12]]
+    v = brown_lm.Vocabulary(words, np.array([20, *(seen[w] for w in words[1:])]), sum(seen.values()) + 20, len(seen) + 1, np.zeros(brown_lm.SHAPES, np.int64), np.zeros(brown_lm.SHAPES, np.int64))
+    classes = rng.integers(0, 5, v.units)
+    rows = list(brown_lm._neighbours(SimpleNamespace(value=v), classes, 8, slice_rows=4)(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])])))
+    outside = {w for w in seen if w not in words[: 1 + v.core]}
+    assert near_rows == 40 or sum(b.num_rows for b in rows) == len(outside)
+    place, unit = v.indexed()
+    class_of = lambda w: classes[unit[place[w]] if w in place else 1 + v.core + brown_lm.shape_of(w)]
+    expected, got = Counter(), Counter()
+    for t in texts:
+        line = [brown_lm.END, *t.encode().split(), brown_lm.END]
+        for x, w, y in zip(line, line[1:-1], line[2:], strict=False):
+            if w in outside:
+                h = xxhash.xxh64(w, 42).intdigest()
+                expected[h, 0, class_of(x)] += 1
+                expected[h, 1, class_of(y)] += 1
+    for b in rows:
+        for h, _, code, n in zip(*brown_lm._entries(b), strict=True):
+            for side, c in [((code >> 7) & 1, code & 127)] if code >> 14 else [(0, code >> 7), (1, code & 127)]:
+                got[int(h) % (1 << 64), int(side), int(c)] += int(n)
+    assert got == expected
+    pairs = rng.integers(0, 50, (5, 5)) + 2.0 * sum(seen.values())
+    table = pa.Table.from_batches(rows).sort_by("h")
+    settle = lambda batches: {h: k for b in brown_lm._exchange_words(pairs)(batches) for h, k in zip(*b.to_pydict().values(), strict=True)}
+    once = settle(table.combine_chunks().to_batches())
+    assert once == settle(table.to_batches(max_chunksize=3)) and len(once) == sum(seen[w] >= brown_lm.MIN_COUNT for w in outside)
+
+
 def test_best_classes_by_brute_force():
     r = np.random.default_rng(3)
     k, words = 7, 40
